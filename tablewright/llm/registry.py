@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_model, outliers, packing, quality, token_ids
+from . import embedding_join, language_model, outliers, packing, quality, secrets, token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secrets": secrets.query,
         "op2_quality_classifier": quality.query,
         "op3_token_ids": token_ids.query,
+        "op4_embedding_join": embedding_join.query,
         "op5_packing": packing.query,
         "op8_language_model": language_model.query,
         "op9_outliers": outliers.query,
@@ -20,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secrets": secrets.sql()}
