@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_join, language_model, outliers, packing, quality, secrets, token_ids
+from . import embedding_join, jaccard_join, language_model, outliers, packing, quality, secrets, token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": packing.query,
         "op8_language_model": language_model.query,
         "op9_outliers": outliers.query,
+        "op10_jaccard_join": jaccard_join.query,
     }
 
 
