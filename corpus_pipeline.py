@@ -1,8 +1,65 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: from documents to packed token sequences.
 
+Each stage takes the documents that its predecessor kept and returns documents
+with the same columns; the last returns the pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablewright.llm import common, jaccard_join, line_dedup, mixing, packing, quality
+
+
+def _resized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, score_col="_score")
+    return scored.filter(F.col("_score") >= model.settings.threshold).select(*docs.columns)
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat, exactly or nearly, stay once; documents of which nothing is left go."""
+    out = line_dedup.dedup(docs)
+    return _resized(out.filter((F.col("n_removed") == 0) | (F.trim("text") != "")).select(*docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    kept = jaccard_join.join(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or dropped at their rates, so that domains have their target shares of the tokens."""
+    mixed = mixing.mix(docs, common.table(spark, sf_dir, "labels"))
+    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 2048 tokens."""
+    return packing.packed_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_deduplication),
+    ("jaccard_join", near_duplicates),
+    ("source_mixing", source_mixing),
+    ("packing", best_fit_packing),
+]
+
+#: SQL expresses neither the classifier nor the packing; tests compare with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_join, jaccard_join, language_model, outliers, packing, quality, secrets, token_ids
+from . import embedding_join, jaccard_join, language_model, line_dedup, mixing, outliers, packing, quality, secrets, token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_ids": token_ids.query,
         "op4_embedding_join": embedding_join.query,
         "op5_packing": packing.query,
+        "op6_line_dedup": line_dedup.query,
+        "op7_mixing": mixing.query,
         "op8_language_model": language_model.query,
         "op9_outliers": outliers.query,
         "op10_jaccard_join": jaccard_join.query,
