@@ -18,8 +18,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words kept in a task's cache; when it is full it starts again.
-CACHE_WORDS = 600_000
+#: Words in each of the two halves of a worker's cache: when the new one is full it becomes the old one, from which words still in use move over.
+CACHE_WORDS = 450_000
 #: Stands between words that are encoded in one call; words that hold it are encoded alone.
 MARK = "\x01"
 
@@ -34,6 +34,7 @@ class Encoder:
         self.small = self.tokenizer.get_vocab_size() <= 65536
         self.dtype = np.uint16 if self.small else np.uint32
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         mark = self._ids([MARK])[0]
         inside = [t for t in self.tokenizer.get_vocab() if "ā" in t]  # the byte's sign in byte-level vocabularies
         self.mark = int(mark[0]) if len(mark) == 1 and len(inside) <= 1 + (kind == "words") else None
@@ -42,7 +43,19 @@ class Encoder:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words into the cache, many in one call where their ids can be told apart."""
+        """Encode words into the cache; a point or comma after a letter or digit is a unit of its own, so its word is learnt without it."""
+        ended = [w for w in words if len(w) > 2 and w[-1] in ".," and w[-2].isalnum()] if self.mark is not None else []
+        plain = set(words).difference(ended)
+        plain.update(w[:-1] for w in ended)
+        if ended:
+            plain.update(".,")
+        cache = self.cache
+        self._learn_plain([w for w in plain if w not in cache])
+        for w in ended:
+            cache[w] = cache[w[:-1]] + cache[w[-1]]
+
+    def _learn_plain(self, words: list[str]) -> None:
+        """Many words in one call where their ids can be told apart."""
         plain = [w for w in words if MARK not in w and "'" not in w and "<|" not in w] if self.mark is not None else []
         alone = [w for w in words if MARK in w or "'" in w or "<|" in w] if self.mark is not None else words
         step = 500
@@ -79,8 +92,11 @@ class Encoder:
         pieces = [self._pieces(t) for t in texts]
         wanted = set().union(*(p for p in pieces if p is not None))
         if len(self.cache) + len(wanted) > CACHE_WORDS:
-            self.cache.clear()
-        self._learn(list(wanted.difference(self.cache)))
+            self.cache, self.old = {}, self.cache
+        new = wanted.difference(self.cache)
+        for w in new.intersection(self.old):
+            self.cache[w] = self.old[w]
+        self._learn(list(new.difference(self.old)))
         get = self.cache.__getitem__
         out = [np.frombuffer(b"".join(map(get, p)), dtype=self.dtype).astype(np.uint32) if p is not None else None for p in pieces]
         whole = [i for i, p in enumerate(pieces) if p is None]
