@@ -64,12 +64,11 @@ def link(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", label
 
     def place(batches):
         for pdf in batches:
-            x = _units(pdf["embedding"])
             out: dict[str, list] = {n: [] for n in ("row", "cell", "home")}
             for _, part in pdf.groupby(["label", "dim"], sort=False):
                 at = part.index.to_numpy() - pdf.index[0]
-                p = _units(pd.Series(list(part["pivots"].iloc[0])))
-                d2 = np.maximum(2 - 2 * x[at] @ p.T, 0)
+                x, p = _units(part["embedding"]), _units(pd.Series(list(part["pivots"].iloc[0])))
+                d2 = np.maximum(2 - 2 * x @ p.T, 0)
                 d, own = np.sqrt(d2), d2.argmin(1)
                 mine = np.arange(len(at))
                 between = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))[own]
