@@ -45,6 +45,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return Stored(df, label).df
 
 
+#: Rows of the bit table of ``likely``: 64 bits each, whatever the input.
+FILTER_ROWS = 65536
+
+
+def likely(rows: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> DataFrame:
+    """The rows whose value is in ``wanted``, and some more: a cheap filter before an exact join.
+
+    The table of bits that is broadcast has FILTER_ROWS rows at most. Null values are dropped.
+    """
+    slot = lambda x: F.pmod(F.xxhash64(x), F.lit(FILTER_ROWS))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(F.xxhash64(x), 32), F.lit(64)).cast("int"))
+    bits = wanted.filter(F.col(wanted_column).isNotNull()).groupBy(slot(wanted_column).alias("_slot")).agg(F.bit_or(bit(wanted_column)).alias("_bits"))
+    joined = rows.withColumn("_slot", slot(column)).join(F.broadcast(bits), "_slot")
+    return joined.filter(F.col("_bits").bitwiseAND(bit(column)) != 0).drop("_slot", "_bits")
+
+
 def crc32_of(key: str | Column) -> Column:
     """Unsigned crc32 of a key written as text; null for a null key."""
     key = F.col(key) if isinstance(key, str) else key

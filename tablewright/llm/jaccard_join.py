@@ -40,19 +40,17 @@ from .links import local_roots
 SHINGLE = 5
 BRANCH = 1.25
 #: First level with final buckets, and the last level.
-START, DEPTH = 2, 5
-#: Members of a bucket that is final before the last level.
-BUCKET = 100
-#: Members of a block of a larger bucket; sets of a block of a component.
+START, DEPTH = 2, 3
+#: Members of a block of a bucket, and of a bucket that is final before the last level; sets of a block of a component.
 BUCKET_BLOCK, COMPONENT_BLOCK = 400, 200
 #: Values of a sketch; candidates are those estimated at most this far below the threshold (four standard deviations).
 SKETCH, SLACK = 64, 0.2
-RECALL = 0.9995
+RECALL = 0.999
 #: Rows of a task's group, about.
 GROUP_ROWS = 4000
 
 
-def runs_needed(threshold: float, recall: float = RECALL, levels: int = START) -> int:
+def runs_needed(threshold: float, recall: float = RECALL, levels: int = DEPTH) -> int:
     """Two sets at the threshold share at least BRANCH * threshold paths a level on average; they meet unless the process dies out."""
     dead = 0.0
     for _ in range(levels):
@@ -163,16 +161,21 @@ def _final_buckets(sets: DataFrame) -> DataFrame:
     """bucket, n, sid of all buckets with two sets or more that need no further split."""
     out, split = [], None
     for level in range(START, DEPTH + 1):
-        each = sets.select("sid", F.explode(F.arrays_zip(f"path{level}", f"parent{level}")).alias("x")).select("sid", F.col(f"x.path{level}").alias("bucket"), F.col(f"x.parent{level}").alias("parent")).dropDuplicates(["sid", "bucket"])
+        each = sets.select("sid", F.explode(F.arrays_zip(f"path{level}", f"parent{level}")).alias("x")).select("sid", F.col(f"x.path{level}").alias("bucket"), F.col(f"x.parent{level}").alias("parent"))
         if split is not None:
-            each = each.join(split.select(F.col("bucket").alias("parent")).distinct(), "parent", "left_semi")
-        shared = each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = c.stored(each.join(shared, "bucket").select("bucket", "n", "sid"), "buckets")
-        split = rows.filter(F.col("n") > BUCKET)
+            parents = split.select(F.col("bucket").alias("parent")).distinct()
+            each = c.likely(each, "parent", parents, "parent").join(parents, "parent", "left_semi")
+        # Most buckets have one set only; they are told by two hashes and go before anything is shuffled by set.
+        mixed = c.stored(each.groupBy("bucket").agg(F.min(F.xxhash64("sid")).alias("low"), F.max(F.xxhash64("sid")).alias("high")).filter("low <> high").select("bucket"), "mixed")
+        some = c.likely(each, "bucket", mixed, "bucket").join(mixed, "bucket", "left_semi").select("sid", "bucket").distinct()
+        some = c.stored(some, "some")
+        shared = some.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        rows = c.stored(some.join(shared, "bucket").select("bucket", "n", "sid"), "buckets")
+        split = rows.filter(F.col("n") > BUCKET_BLOCK)
         if level == DEPTH or split.isEmpty():
             out.append(rows)
             break
-        out.append(rows.filter(F.col("n") <= BUCKET))
+        out.append(rows.filter(F.col("n") <= BUCKET_BLOCK))
     final = out[0]
     for more in out[1:]:
         final = final.unionByName(more)
@@ -264,7 +267,8 @@ def join(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str
     # The shingles of the candidates only, from one document of each class.
     sizes = near.groupBy("component").agg(F.count("*").alias("n"))
     placed = c.stored(near.join(sizes, "component").join(classes, F.col("node") == F.col("sid")).select("component", "n", "sid", "copies", "class_id"), "members")
-    again = texts.join(placed.select("class_id").distinct(), texts["doc_id"].eqNullSafe(F.col("class_id")), "left_semi")
+    keys = placed.select("class_id").distinct()
+    again = c.likely(texts, "doc_id", keys, "class_id").join(keys, F.col("doc_id") == F.col("class_id"), "left_semi").unionAll(texts.filter("doc_id is null"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
