@@ -9,7 +9,8 @@ small buckets are final; larger ones are split again, down to ``DEPTH``. The num
 runs follows from the target recall by the branching process.
 
 In a final bucket all members are compared by min-hash sketches, and those that
-may be similar go into one candidate component. A component's sets then meet
+may be similar go into one candidate component. Up to here a 64-bit hash stands
+for a set: others meet both of two sets that share it, and the exact step tells them apart. A component's sets then meet
 once, in blocks, and the exact Jaccard similarity of all its pairs decides.
 Blocks give numbers of links and spanning forests, never lists of pairs, so a
 large group costs comparisons but no rows. Cutting buckets and components into
@@ -117,12 +118,12 @@ def paths(shingles: np.ndarray, runs: int) -> list[tuple[np.ndarray, np.ndarray]
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The least hash of the set under each of SKETCH functions, cut to 32 bits."""
+    """The least hash of the set under each of SKETCH functions, cut to 8 bits: chance agreement adds candidates and loses none."""
     out = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(0, len(shingles), 4096):
             out = np.minimum(out, _mix(shingles[None, k : k + 4096] ^ _SEEDS[:, None]).min(1))
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return (out >> np.uint64(32)).astype(np.uint8)
 
 
 def _signatures(texts: DataFrame, runs: int) -> DataFrame:
@@ -140,16 +141,16 @@ def _signatures(texts: DataFrame, runs: int) -> DataFrame:
                     for col in cols:
                         col.append(None)
                     continue
-                cols[0].append(xxhash.xxh128_hexdigest(s.tobytes()))
+                cols[0].append(xxhash.xxh128_digest(s.tobytes()))
                 cols[1].append(sketch(s).tobytes())
                 for k, (new, parent) in enumerate(paths(s, runs)):
                     cols[2 + 2 * k].append(new.view(np.int64))
                     cols[3 + 2 * k].append(parent.view(np.int64))
-            kinds = [pa.string(), pa.binary()] + [lists] * (2 * len(levels))
+            kinds = [pa.binary(), pa.binary()] + [lists] * (2 * len(levels))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], names=["doc_id", "sid", "sketch", *[f"{n}{k}" for k in levels for n in ("path", "parent")]])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, sid string, sketch binary, " + ", ".join(f"path{k} array<long>, parent{k} array<long>" for k in levels))
+    return texts.mapInArrow(run, f"doc_id {kind}, sid binary, sketch binary, " + ", ".join(f"path{k} array<long>, parent{k} array<long>" for k in levels))
 
 
 def _segments(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -158,19 +159,19 @@ def _segments(values: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _final_buckets(sets: DataFrame) -> DataFrame:
-    """bucket, n, sid of all buckets with two sets or more that need no further split."""
+    """bucket, n, node of all buckets with two sets or more that need no further split."""
     out, split = [], None
     for level in range(START, DEPTH + 1):
-        each = sets.select("sid", F.explode(F.arrays_zip(f"path{level}", f"parent{level}")).alias("x")).select("sid", F.col(f"x.path{level}").alias("bucket"), F.col(f"x.parent{level}").alias("parent"))
+        each = sets.select("node", F.explode(F.arrays_zip(f"path{level}", f"parent{level}")).alias("x")).select("node", F.col(f"x.path{level}").alias("bucket"), F.col(f"x.parent{level}").alias("parent"))
         if split is not None:
             parents = split.select(F.col("bucket").alias("parent")).distinct()
             each = c.likely(each, "parent", parents, "parent").join(parents, "parent", "left_semi")
-        # Most buckets have one set only; they are told by two hashes and go before anything is shuffled by set.
-        mixed = c.stored(each.groupBy("bucket").agg(F.min(F.xxhash64("sid")).alias("low"), F.max(F.xxhash64("sid")).alias("high")).filter("low <> high").select("bucket"), "mixed")
-        some = c.likely(each, "bucket", mixed, "bucket").join(mixed, "bucket", "left_semi").select("sid", "bucket").distinct()
+        # Most buckets have one set only; they are told by their least and greatest node and go before anything is shuffled by set.
+        mixed = c.stored(each.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("bucket"), "mixed")
+        some = c.likely(each, "bucket", mixed, "bucket").join(mixed, "bucket", "left_semi").select("node", "bucket").distinct()
         some = c.stored(some, "some")
         shared = some.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = c.stored(some.join(shared, "bucket").select("bucket", "n", "sid"), "buckets")
+        rows = c.stored(some.join(shared, "bucket").select("bucket", "n", "node"), "buckets")
         split = rows.filter(F.col("n") > BUCKET_BLOCK)
         if level == DEPTH or split.isEmpty():
             out.append(rows)
@@ -196,14 +197,19 @@ def _tasks(rows: DataFrame, columns: list[str], count: int, rows_of_group: int =
 
 
 def _candidates(final: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links a - b between sets that their sketches do not rule out, as a spanning forest of each block."""
-    dealt = c.stored(_dealt(final, ["bucket"], "n", BUCKET_BLOCK, "sid").drop("n"), "dealt")
+    """Links a - b between the nodes of sets that their sketches do not rule out.
+
+    A block that meets itself gives a spanning forest; two blocks that meet give
+    only what connects the trees of one with those of the other, so that a large
+    group of near copies gives about one link a member.
+    """
+    dealt = c.stored(_dealt(final, ["bucket"], "n", BUCKET_BLOCK, "node").drop("n"), "dealt")
     least = math.ceil((threshold - SLACK) * SKETCH)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bucket", "i", "j", "sid"], kind="stable")
-        sids = pdf["sid"].to_numpy()
-        marks = np.frombuffer(b"".join(pdf["sketch"]), np.uint32).reshape(len(pdf), SKETCH)
+        pdf = pdf.sort_values(["bucket", "i", "j", "node"], kind="stable")
+        nodes, side = pdf["node"].to_numpy(), pdf["b"].to_numpy()
+        marks = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), SKETCH)
         block = pd.factorize(pd.MultiIndex.from_frame(pdf[["bucket", "i", "j"]]))[0]
         edges = list(_segments(block))
         out: list[np.ndarray] = []
@@ -220,13 +226,18 @@ def _candidates(final: DataFrame, sets: DataFrame, threshold: float) -> DataFram
                 alike += m[:, None, k] == m[None, :, k]
             a, z = np.nonzero(np.triu(alike >= least, 1))
             root = local_roots(e - s, a, z)
-            own = np.flatnonzero(root != np.arange(e - s))
+            own = root != np.arange(e - s)
+            here = side[s:e]
+            if here.min() != here.max():  # each block's own links come from where it meets itself
+                same = here[a] == here[z]
+                own &= local_roots(e - s, a[same], z[same]) == np.arange(e - s)
+            own = np.flatnonzero(own)
             out.append(np.stack([root[own], own], 1) + s)
         at = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": sids[at[:, 0]], "b": sids[at[:, 1]]}).drop_duplicates()
+        return pd.DataFrame({"a": nodes[at[:, 0]], "b": nodes[at[:, 1]]}).drop_duplicates()
 
-    with_sketch = dealt.join(sets.select("sid", "sketch"), "sid")
-    return _tasks(with_sketch, ["bucket", "i", "j"], dealt.count()).groupBy("task").applyInPandas(compare, "a string, b string").distinct()
+    with_sketch = dealt.join(sets.select("node", "sketch"), "node")
+    return _tasks(with_sketch, ["bucket", "i", "j"], dealt.count()).groupBy("task").applyInPandas(compare, "a long, b long").distinct()
 
 
 def _similar(x: list[np.ndarray], y: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -260,13 +271,13 @@ def join(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str
     texts = c.id_texts(docs, key, text)
     sig = c.stored(_signatures(texts, runs_needed(threshold, recall)), "signatures")
     classes = sig.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    sets = sig.filter("sid is not null").select("sid", "sketch", *[f"{n}{k}" for k in range(START, DEPTH + 1) for n in ("path", "parent")])
-    one = c.stored(sets.select("sid", "sketch").dropDuplicates(["sid"]), "sketches")
+    sets = sig.filter("sid is not null").select("sid", F.xxhash64("sid").alias("node"), "sketch", *[f"{n}{k}" for k in range(START, DEPTH + 1) for n in ("path", "parent")])
+    one = c.stored(sets.select("sid", "node", "sketch").dropDuplicates(["sid"]), "sketches")
     near = c.stored(connected(_candidates(_final_buckets(sets), one, threshold)), "components")
 
     # The shingles of the candidates only, from one document of each class.
     sizes = near.groupBy("component").agg(F.count("*").alias("n"))
-    placed = c.stored(near.join(sizes, "component").join(classes, F.col("node") == F.col("sid")).select("component", "n", "sid", "copies", "class_id"), "members")
+    placed = c.stored(near.join(sizes, "component").join(classes, F.col("node") == F.xxhash64("sid")).select("component", "n", "sid", "copies", "class_id"), "members")
     keys = placed.select("class_id").distinct()
     again = c.likely(texts, "doc_id", keys, "class_id").join(keys, F.col("doc_id") == F.col("class_id"), "left_semi").unionAll(texts.filter("doc_id is null"))
 
@@ -274,9 +285,9 @@ def join(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str
         shingler = Shingler()
         for part in c.slices(batches):
             got = [shingler(t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_hexdigest(s.tobytes()) for s in got]), pa.array([s.tobytes() for s in got], pa.binary())], names=["sid", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(s.tobytes()) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())], names=["sid", "shingles"])
 
-    shingles = again.select("text").mapInArrow(shingle, "sid string, shingles binary").dropDuplicates(["sid"])
+    shingles = again.select("text").mapInArrow(shingle, "sid binary, shingles binary").dropDuplicates(["sid"])
     dealt = _dealt(placed.drop("class_id"), ["component"], "n", COMPONENT_BLOCK, "sid").drop("n")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -301,7 +312,7 @@ def join(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str
         return out[out["links"] > 0]
 
     tasks = _tasks(dealt.join(shingles, "sid"), ["component", "i", "j"], dealt.count(), rows_of_group=1000)
-    found = c.stored(tasks.groupBy("task").applyInPandas(compare, "sid string, links long, root string"), "links")
+    found = c.stored(tasks.groupBy("task").applyInPandas(compare, "sid binary, links long, root binary"), "links")
     linked = connected(found.select(F.col("sid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "sid")
     least = linked.join(classes, "sid").groupBy("component").agg(F.min("class_id").alias("component_id"))
     own = classes.join(found.groupBy("sid").agg(F.sum("links").alias("links")), "sid", "left").join(linked.join(least, "component").select("sid", "component_id"), "sid", "left")
