@@ -3,11 +3,13 @@
 For each text: its words, their characters, symbols, repeated lines and
 repeated five-word windows. Texts that pass the base rules give, in each group
 of language and source, a minimum-covariance-determinant estimate of location
-and scatter of five transformed statistics: from medians and quartiles,
-concentration steps keep the half with the least Mahalanobis distances until
-the estimate stands. A text is rejected if its squared distance passes a
+and scatter of five transformed statistics: from the shortest half of each
+statistic, concentration steps keep the half (of n rows in p dimensions,
+(n + p + 1) / 2) with the least Mahalanobis distances until
+its determinant falls no more. A text is rejected if its squared distance passes a
 chi-square quantile. All steps are grouped sums over all rows (by group and bin of the
-distance), so a hot source is summed in the tasks before any shuffle.
+distance), so a hot source is summed in the tasks before any shuffle. Of the bin in which the half is
+reached, each row counts with the share of the bin that still fits.
 
 Defined cases: a null text has no words and fails; null language or source is a
 group of its own; small groups are pooled within their language, and if the
@@ -35,12 +37,13 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Transformed statistics, with the least standard deviation that counts for each.
 FEATURES = ("length", "word_length", "symbols", "dup_lines", "repeats")
 LEAST_SCALE = (0.3, 0.05, 0.5, 0.3, 0.05)
+#: Quantiles of a half of the values that the start looks at; bins of the squared distance in a factor of two.
+HALF, BINS = 50, 32
 
 
 @dataclass(frozen=True)
 class Settings:
-    share: float = 0.75  #: of a group that the estimate keeps
-    steps: int = 5
+    fall: float = 1e-3  #: of the logarithm of the determinant, without which an estimate stands
     tail: float = 1e-8  #: of a chi-square distribution that is rejected
     least_rows: int = 100  #: of a group with an estimate of its own
 
@@ -124,7 +127,7 @@ def chi2_quantile(p: float, k: int) -> float:
 
 # --- minimum covariance determinant ------------------------------------------------------------
 
-PARAMS = "lang string, source string, mu array<double>, inv array<double>"
+PARAMS = "lang string, source string, mu array<double>, inv array<double>, logdet double, open boolean"
 
 
 def _inverse(center: list[np.ndarray], scatter: list[np.ndarray]) -> list[list[float]]:
@@ -146,19 +149,24 @@ def _distance(p: int) -> Column:
 def estimate(rows: DataFrame, s: Settings) -> DataFrame:
     """Location and inverse scatter by (lang, source) of ``rows``, whose groups are at least ``s.least_rows``."""
     p = len(FEATURES)
-    start = rows.groupBy("lang", "source").agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f) for f in FEATURES])
+    start = rows.groupBy("lang", "source").agg(*[F.percentile_approx(f, [k / (2 * HALF) for k in range(2 * HALF + 1)], 1000).alias(f) for f in FEATURES])
 
     def first(batches):
         for pdf in batches:
-            q = np.array([[list(x) for x in pdf[f]] for f in FEATURES]).reshape(p, len(pdf), 3)
-            mu = q[:, :, 1].T
-            scale = ((q[:, :, 2] - q[:, :, 0]) / 1.349).T
-            yield pd.DataFrame({"lang": pdf["lang"], "source": pdf["source"], "mu": mu.tolist(), "inv": _inverse(list(mu), [np.diag(x**2) for x in scale])})
+            q = np.array([[list(x) for x in pdf[f]] for f in FEATURES]).reshape(p, len(pdf), 2 * HALF + 1)
+            # Outliers, up to half of a group, move quartiles; the shortest interval with half of the values stays with the others.
+            width = q[:, :, HALF:] - q[:, :, : HALF + 1]
+            at = width.argmin(2)[:, :, None]
+            low, high = (np.take_along_axis(q, at + k, 2)[:, :, 0].T for k in (0, HALF))
+            mu, scale = (low + high) / 2, (high - low) / 1.349
+            yield pd.DataFrame({"lang": pdf["lang"], "source": pdf["source"], "mu": mu.tolist(), "inv": _inverse(list(mu), [np.diag(x**2) for x in scale]), "logdet": np.inf, "open": True})
 
     params = c.stored(start.mapInPandas(first, PARAMS), "mcd")
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    # Consistent for normal data: a kept share a has variances too small by this factor.
-    factor = s.share / chi2_cdf(chi2_quantile(s.share, p), p + 2)
+
+    def consistent(share: float) -> float:
+        """For normal data, a kept share has variances too small by this factor."""
+        return share / chi2_cdf(chi2_quantile(share, p), p + 2)
 
     def concentrate(batches):
         for pdf in batches:
@@ -168,18 +176,26 @@ def estimate(rows: DataFrame, s: Settings) -> DataFrame:
             scatter = np.zeros((len(pdf), p, p))
             for k, (i, j) in enumerate(pairs):
                 scatter[:, i, j] = scatter[:, j, i] = second[:, k] - mu[:, i] * mu[:, j]
-            yield pd.DataFrame({"lang": pdf["lang"], "source": pdf["source"], "mu": mu.tolist(), "inv": _inverse(list(mu), list(scatter * factor))})
+            factor = np.array([consistent(x) for x in n[:, 0] / pdf["all"]])[:, None, None]
+            inv = _inverse(list(mu), list(scatter * factor))
+            yield pd.DataFrame({"lang": pdf["lang"], "source": pdf["source"], "mu": mu.tolist(), "inv": inv, "logdet": -np.linalg.slogdet(np.array(inv).reshape(-1, p, p))[1], "open": True})
 
-    for _ in range(s.steps):
-        binned = rows.join(params, ["lang", "source"]).withColumn("bin", F.floor(8 * F.log2(_distance(p) + 1e-6)).cast("int"))
+    while not params.filter("open").isEmpty():
+        binned = rows.join(params.filter("open"), ["lang", "source"]).withColumn("bin", F.floor(BINS * F.log2(_distance(p) + 1e-6)).cast("int"))
         sums = [F.sum(f).alias(f) for f in FEATURES] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i, j in pairs]
         by_bin = binned.groupBy("lang", "source", "bin").agg(F.count("*").alias("n"), *sums)
-        # The bins with the least distances, up to the one in which the share is reached (some hundreds of bins a group).
+        # The bins with the least distances, up to the one in which the half is reached (some thousands of bins a group).
         window = "partition by lang, source"
-        kept = by_bin.withColumns({"before": F.expr(f"coalesce(sum(n) over ({window} order by bin rows between unbounded preceding and 1 preceding), 0)"), "all": F.expr(f"sum(n) over ({window})")}).filter(F.col("before") < s.share * F.col("all"))
-        total = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.array(*[F.sum(f) for f in FEATURES]).alias("sums"), F.array(*[F.sum(f"p{i}{j}") for i, j in pairs]).alias("products"))
-        params = c.stored(total.mapInPandas(concentrate, PARAMS), "mcd")
-    return params
+        kept = by_bin.withColumns({"before": F.expr(f"coalesce(sum(n) over ({window} order by bin rows between unbounded preceding and 1 preceding), 0)"), "all": F.expr(f"sum(n) over ({window})")})
+        kept = kept.withColumn("half", F.floor((F.col("all") + p + 1) / 2)).filter("before < half").withColumn("part", F.least(F.lit(1.0), (F.col("half") - F.col("before")) / F.col("n")))
+        part = lambda x: F.sum(F.col("part") * F.col(x))
+        total = kept.groupBy("lang", "source").agg(part("n").alias("n"), F.first("all").alias("all"), F.array(*[part(f) for f in FEATURES]).alias("sums"), F.array(*[part(f"p{i}{j}") for i, j in pairs]).alias("products"))
+        new = total.mapInPandas(concentrate, PARAMS).select("lang", "source", F.struct("mu", "inv", "logdet", "open").alias("new"))
+        falls = F.coalesce(F.col("new.logdet") < F.col("logdet") - s.fall, F.lit(False))
+        # Each step of an open group lowers its determinant, which has a least value, so the steps end; a group that stands is not read again.
+        taken = [F.when(falls, F.col(f"new.{x}")).otherwise(F.col(x)).alias(x) for x in ("mu", "inv", "logdet")]
+        params = c.stored(params.join(new, ["lang", "source"], "left").select("lang", "source", *taken, falls.alias("open")), "mcd")
+    return params.select("lang", "source", "mu", "inv")
 
 
 def judge(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

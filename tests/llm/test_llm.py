@@ -240,6 +240,17 @@ def test_outliers(spark, odd, docs):
     assert abs(outliers.chi2_cdf(outliers.chi2_quantile(0.95, 5), 5) - 0.95) < 1e-9 and abs(outliers.chi2_quantile(0.95, 5) - 11.0705) < 1e-3
 
 
+@pytest.mark.parametrize("junk", [90, 120, 135])
+def test_outliers_of_a_large_share(spark, odd, docs, junk):
+    rng = np.random.default_rng(3)
+    spread = lambda: "".join(rng.choice(list("#$|abcdefgh"), rng.integers(1, 30)))
+    rows = [(k, " ".join("w%d" % x for x in rng.integers(0, 10**6, rng.integers(80, 200))), "en", "a") for k in range(300 - junk)]
+    rows += [(1000 + k, "\n".join(spread() for _ in range(rng.integers(12, 60))), "en", "a") for k in range(junk)]
+    got = outliers.judge(spark.createDataFrame(rows, odd.select("doc_id", "text", "lang", "source").schema)).collect()
+    assert not any(r["base_failed"] for r in got)
+    assert all(r["kept"] == (r["doc_id"] < 1000) for r in got)
+
+
 def test_jaccard(spark, docs, odd, texts):
     shingler = jaccard_join.Shingler()
     near = [(2000 + d, t.replace("the", "thee", 1)) for d, t in texts.items() if len(t) < 4000]
