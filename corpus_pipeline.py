@@ -30,9 +30,19 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    kept = jaccard_join.join(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near-duplicates stays.
+
+    A document is known by its key and a hash of its text, not by the key alone: rows without a key, and rows that share a key but not
+    the text, are documents of their own. Of a group the least key stays, a null key only where there is no other; of rows that repeat
+    key and text the least one. Documents without a word are near nothing, so all of them stay.
+    """
+    text = common.text_of()
+    known = F.struct(F.col("doc_id").isNull().alias("no_key"), F.col("doc_id").alias("key"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    words = text.rlike(r"[^\x20\t\n\r\x0b\f]")
+    some = docs.filter(words).withColumn("_known", known)
+    kept = jaccard_join.join(some, key="_known").filter("kept").select(F.col("doc_id").alias("_known")).distinct()
+    one = some.join(kept, "_known", "left_semi").groupBy("_known").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return one.select("_row.*").unionAll(docs.filter(~words))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -282,3 +282,15 @@ def test_pipeline(spark, sf_dir):
     for r in out:
         bins[r["sequence_id"]] += r["length"]
     assert out and max(bins.values()) <= 2048
+
+
+def test_pipeline_near_duplicates_without_a_unique_key(spark, sf_dir):
+    import corpus_pipeline
+
+    word = lambda k: " ".join("w%d" % x for x in np.random.default_rng(k).integers(0, 10**6, 60))
+    near = lambda k: word(k) + " end"
+    stay = [(None, word(1), "a"), (None, word(2), "a"), (None, "few", "a"), (None, "", "a"), (None, "", "a"), (None, None, "a"), (7, word(3), "a"), (7, word(4), "a"), (8, word(5), "a"), (9, word(6), "a"), (10, word(7), "a"), (11, " \n", "a")]
+    go = [(None, word(5), "a"), (None, near(6), "a"), (12, near(3), "a"), (9, word(6), "b"), (10, word(7), "a"), (None, word(1), "b"), (13, near(4), "a")]
+    rows = spark.createDataFrame(go + stay, "doc_id long, text string, source string").repartition(3)
+    got = Counter(map(tuple, corpus_pipeline.near_duplicates(spark, rows, sf_dir).collect()))
+    assert got == Counter(stay)
