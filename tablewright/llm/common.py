@@ -49,16 +49,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 FILTER_ROWS = 65536
 
 
-def likely(rows: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> DataFrame:
-    """The rows whose value is in ``wanted``, and some more: a cheap filter before an exact join.
+def marked(rows: DataFrame, column: str, wanted: DataFrame, wanted_column: str, mark: str) -> DataFrame:
+    """All rows with ``mark``: false only where the value is not in ``wanted`` (or null), so that those can stay out of an exact join.
 
-    The table of bits that is broadcast has FILTER_ROWS rows at most. Null values are dropped.
+    The table of bits that is broadcast has FILTER_ROWS rows at most.
     """
     slot = lambda x: F.pmod(F.xxhash64(x), F.lit(FILTER_ROWS))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(F.xxhash64(x), 32), F.lit(64)).cast("int"))
     bits = wanted.filter(F.col(wanted_column).isNotNull()).groupBy(slot(wanted_column).alias("_slot")).agg(F.bit_or(bit(wanted_column)).alias("_bits"))
-    joined = rows.withColumn("_slot", slot(column)).join(F.broadcast(bits), "_slot")
-    return joined.filter(F.col("_bits").bitwiseAND(bit(column)) != 0).drop("_slot", "_bits")
+    joined = rows.withColumn("_slot", slot(column)).join(F.broadcast(bits), "_slot", "left")
+    hit = F.col(column).isNotNull() & (F.coalesce("_bits", F.lit(0).cast("long")).bitwiseAND(bit(column)) != 0)
+    return joined.withColumn(mark, hit).drop("_slot", "_bits")
+
+
+def likely(rows: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> DataFrame:
+    """The rows whose value is in ``wanted``, and some more: a cheap filter before an exact join. Null values are dropped."""
+    return marked(rows, column, wanted, wanted_column, "_likely").filter("_likely").drop("_likely")
 
 
 def crc32_of(key: str | Column) -> Column:
