@@ -6,8 +6,8 @@ batch instead of at every occurrence. Two kinds of vocabulary are known:
 
 - ``words``: white space is dropped, so any space or newline is a safe cut;
 - ``spaces``: a word takes the one space before it. Cuts are made before single
-  spaces and around single newlines; a text with any other run of white space
-  is encoded whole.
+  spaces and around single newlines; a text with any other white space, or with
+  two such signs in a row, is encoded whole.
 """
 
 from __future__ import annotations
@@ -22,6 +22,16 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE_WORDS = 450_000
 #: Stands between words that are encoded in one call; words that hold it are encoded alone.
 MARK = "\x01"
+#: All white space but space and newline (of either Python or the tokenizers' expressions).
+OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def closes(sign: str) -> bool:
+    """Whether the sign is a letter or digit before and after normalising, so that a point or comma behind it is a unit of its own.
+
+    Beyond Latin letters nothing is taken for granted; of these the capital dotted I becomes two signs in lower case.
+    """
+    return sign < "\u0250" and sign.isalnum() and sign != "\u0130"
 
 
 class Encoder:
@@ -43,8 +53,8 @@ class Encoder:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words into the cache; a point or comma after a letter or digit is a unit of its own, so its word is learnt without it."""
-        ended = [w for w in words if len(w) > 2 and w[-1] in ".," and w[-2].isalnum()] if self.mark is not None else []
+        """Encode words into the cache; where a point or comma at the end is a unit of its own, its word is learnt without it."""
+        ended = [w for w in words if len(w) > 2 and w[-1] in ".," and closes(w[-2])] if self.mark is not None else []
         plain = set(words).difference(ended)
         plain.update(w[:-1] for w in ended)
         if ended:
@@ -76,6 +86,8 @@ class Encoder:
     def _pieces(self, text: str) -> list[str] | None:
         if self.kind == "words":
             return [w for w in text.replace("\n", " ").split(" ") if w]
+        if any(map(text.__contains__, OTHER_SPACE)):
+            return None
         lines = text.split("\n")
         flat: list[str] = []
         for i, line in enumerate(lines):
@@ -86,7 +98,7 @@ class Encoder:
                 flat.append("\n")
             flat.append(words[0])
             flat += [" " + w for w in words[1:]]
-        return flat if len(text.split()) == len(flat) - len(lines) + 1 else None
+        return flat
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         pieces = [self._pieces(t) for t in texts]
