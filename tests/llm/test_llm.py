@@ -1,13 +1,15 @@
 """The training-data operators against brute force, and their defined cases."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -47,8 +49,6 @@ def test_components(spark):
 
 
 def test_secrets(spark, docs, odd, texts):
-    import re
-
     def brute(text):
         out = []
         for k, r in enumerate(secrets.RULES):
@@ -139,53 +139,75 @@ def test_sum_of_squares_fills():
     assert len(set(bins.tolist())) == 3 and offsets.max() < 10
 
 
-def _distance(a, b):
-    row = np.arange(len(b) + 1)
-    for i, ch in enumerate(a, 1):
-        new = np.minimum(row[1:] + 1, row[:-1] + np.array([ch != x for x in b], int))
-        row = np.minimum.accumulate(np.concatenate([[i], new]) - np.arange(len(b) + 1)) + np.arange(len(b) + 1)
-    return row[-1]
-
+def _normal(line):
+    return re.sub(r"[\x20\t\r\x0b\f]+", " ", line.lower()).strip(" ")
 
-def test_line_dedup(spark, docs, odd):
-    def sim(line):
-        w = line.split(" ")
-        pairs = list(zip(w, w[1:])) or [(w[0], "")]
-        h = [xxhash.xxh64_intdigest(y.encode(), seed=xxhash.xxh64_intdigest(x.encode(), seed=42)) for x, y in pairs]
-        return sum(1 << k for k in range(64) if 2 * sum(v >> k & 1 for v in h) > len(h))
 
-    some = docs.limit(120).select("doc_id", "text").collect()
-    rows = [(r["doc_id"], r["text"]) for r in some] + [(1000 + r["doc_id"], r["text"].replace("the", "thee", 1)) for r in some[:30]] + [(5000, None), (5001, "\n\n")]
-    norm = lambda x: " ".join(x.lower().replace("\t", " ").replace("\r", " ").split(" ")).strip(" ")
-    lines = sorted({norm(x) for _, t in rows for x in (t or "").split("\n")} - {""})
-    s = [sim(x) for x in lines]
-    root = list(range(len(lines)))
+def _similar_lines(lines, threshold=0.8):
+    """All pairs of lines (sorted by length) with the edit similarity, by Levenshtein distance alone."""
+    sign = {x: chr(33 + min(k, 90)) for k, (x, _) in enumerate(Counter("".join(lines)).most_common())}  # DuckDB counts bytes
+    n = np.array([len(x) for x in lines])
+    bags = np.array([np.bincount([ord(sign[x]) for x in line], minlength=128) for line in lines])
+    grams = [Counter(line[k : k + 3] for k in range(len(line) - 2)) for line in lines]
+    pairs = []
+    for i in range(len(lines)):
+        j = np.arange(i + 1, np.searchsorted(n, n[i] / threshold + 1e-9, side="right"))
+        most = np.floor((1 - threshold) * n[j] + 1e-9).astype(int)
+        for z, k in zip(j[np.abs(bags[j] - bags[i]).sum(1) <= 2 * most], most[np.abs(bags[j] - bags[i]).sum(1) <= 2 * most], strict=True):  # what an edit can change at most
+            if sum((grams[i] & grams[z]).values()) >= n[z] - 2 - 3 * k:
+                pairs.append((i, int(z), int(k), "".join(map(sign.get, lines[i])), "".join(map(sign.get, lines[z]))))
+    db = duckdb.connect()
+    db.register("pairs", pa.table(dict(zip("ijkxy", map(list, zip(*pairs, strict=True)), strict=True))))
+    return db.sql("select i, j from pairs where levenshtein(x, y) <= k").fetchall()
+
+
+def test_line_groups_against_all_pairs(spark, docs, texts):
+    lines = sorted({_normal(x) for t in texts.values() for x in (t or "").split("\n")} - {""}, key=lambda x: (len(x), x))
+    got = {r["line"]: r["component"] for r in line_dedup.groups(line_dedup._lines(docs, "doc_id", "text"), 0.8, 3).join(spark.createDataFrame([(x,) for x in lines], "line string").withColumn("node", F.struct(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))), "node").collect()}
+    pairs = [(lines[i], lines[j]) for i, j in _similar_lines(lines)]
+    for low, high, least in ((0, 10**9, 0.9), (64, 256, 0.9), (256, 10**9, 0.95)):
+        some = [(x, y) for x, y in pairs if low <= len(y) < high]
+        assert some and np.mean([x in got and got[x] == got.get(y) for x, y in some]) >= least
+    root = {x: x for x in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        root[find(x)] = find(y)
+    by = {}
+    for x, k in got.items():
+        by.setdefault(k, []).append(x)
+    assert all(len({find(x) for x in g}) == 1 for g in by.values() if max(map(len, g)) <= line_dedup.LONG_LINE)
 
-    def find(k):
-        while root[k] != k:
-            k = root[k]
-        return k
 
-    for i in range(len(lines)):
-        for j in range(i):
-            if (s[i] ^ s[j]).bit_count() <= 3:
-                n = max(len(lines[i]), len(lines[j]))
-                if _distance(lines[i], lines[j]) <= math.floor(0.2 * n + 1e-9):
-                    a, b = sorted((find(i), find(j)))
-                    root[b] = a
-    at, seen, want = {x: k for k, x in enumerate(lines)}, set(), {}
-    for d, t in sorted(rows):
-        kept = []
+def test_line_dedup(spark, docs, odd):
+    some = docs.limit(120).select("doc_id", "text").collect()
+    rows = [(r["doc_id"], r["text"]) for r in some] + [(1000 + r["doc_id"], r["text"].replace("the", "thee", 1)) for r in some[:30]] + [(5000, None), (5001, "\n\n"), (None, some[0]["text"]), (5002, some[1]["text"]), (5002, "other words of the same key")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = line_dedup._lines(frame, "doc_id", "text")
+    group = {r["node"]: r["component"] for r in line_dedup.groups(lines, 0.8, 3).collect()}
+    name = {r["line"]: group.get((r["h1"], r["h2"]), (r["h1"], r["h2"])) for r in lines.select("line", "h1", "h2").distinct().collect()}
+    kept, seen, gone = Counter(), set(), 0
+    order = {v: k for k, v in enumerate(sorted({(d is not None, d or 0, v) for d, _, v in ((r[0], r[1], r[2]) for r in frame.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")))).collect())}))}
+    hashed = {(r[0], r[1]): r[2] for r in frame.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    for d, t in sorted(rows, key=lambda r: order[r[0] is not None, r[0] or 0, hashed[r]]):
+        out = []
         for x in (t or "").split("\n"):
-            g = find(at[norm(x)]) if norm(x) else None
+            g = name[_normal(x)] if _normal(x) else None
             if g is None or g not in seen:
-                kept.append(x)
+                out.append(x)
+            else:
+                gone += 1
             seen.add(g)
-        want[d] = "\n".join(kept)
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want
-    out = line_dedup.dedup(odd)
-    assert out.count() == len(ODD) and "score" in out.columns
+        kept[d, "\n".join(out)] += 1
+    got = line_dedup.dedup(frame).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == kept and sum(r["n_removed"] for r in got) == gone > 30
+    out = {(r["doc_id"], r["text"], r["n_lines"], r["n_removed"], r["score"]) for r in line_dedup.dedup(odd).collect()}
+    assert out == {(d, t or "", (t or "").count("\n") + 1, 0, "mine") for d, t, _, _ in ODD}
+    assert line_dedup.dedup(odd.limit(0)).count() == 0
 
 
 def test_mixing(spark, docs, labels, odd):
