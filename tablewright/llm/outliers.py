@@ -3,19 +3,21 @@
 For each text: its words, their characters, symbols, repeated lines and
 repeated five-word windows. Texts that pass the base rules give, in each group
 of language and source, a minimum-covariance-determinant estimate of location
-and scatter of five transformed statistics: from the shortest half of each
-statistic, concentration steps keep the half (of n rows in p dimensions,
-(n + p + 1) / 2) with the least Mahalanobis distances until
-its determinant falls no more. A text is rejected if its squared distance passes a
+and scatter of five transformed statistics: from two starts, the shortest half of each
+statistic and its median and quartiles, concentration steps keep the half (of n rows in p
+dimensions, (n + p + 1) / 2) with the least Mahalanobis distances until
+its determinant falls no more, and the start with the least determinant counts. A text is rejected if its squared distance passes a
 chi-square quantile. All steps are grouped sums over all rows (by group and bin of the
 distance), so a hot source is summed in the tasks before any shuffle. Of the bin in which the half is
 reached, each row counts with the share of the bin that still fits.
 
-Defined cases: a null text has no words and fails; null language or source is a
-group of its own; small groups are pooled within their language, and if the
-pool is small too, the base rules alone decide; statistics that do not vary get
+Defined cases: a null or empty text has no words and fails; a very long text
+counts whole; null language or source is a
+group of its own; a group of fewer than 100 passing texts is held against the
+estimate of its language, and if that has fewer too, against that of all texts, so
+every passing text gets a verdict; statistics that do not vary get
 a least scale, so no covariance is singular; repeated rows count as often as
-they occur; other columns are ignored.
+they occur; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Transformed statistics, with the least standard deviation that counts for each.
 FEATURES = ("length", "word_length", "symbols", "dup_lines", "repeats")
 LEAST_SCALE = (0.3, 0.05, 0.5, 0.3, 0.05)
+#: Stands for all sources of a language, or all languages.
+WIDER = "\x01"
 #: Quantiles of a half of the values that the start looks at; bins of the squared distance in a factor of two.
 HALF, BINS = 50, 32
 
@@ -45,7 +49,7 @@ HALF, BINS = 50, 32
 class Settings:
     fall: float = 1e-3  #: of the logarithm of the determinant, without which an estimate stands
     tail: float = 1e-8  #: of a chi-square distribution that is rejected
-    least_rows: int = 100  #: of a group with an estimate of its own
+    least_rows: int = 100  #: of a group (or language) with an estimate of its own
 
 
 # --- statistics of a text ----------------------------------------------------------------------
@@ -127,7 +131,7 @@ def chi2_quantile(p: float, k: int) -> float:
 
 # --- minimum covariance determinant ------------------------------------------------------------
 
-PARAMS = "lang string, source string, mu array<double>, inv array<double>, logdet double, open boolean"
+PARAMS = "lang string, source string, start int, mu array<double>, inv array<double>, logdet double, open boolean"
 
 
 def _inverse(center: list[np.ndarray], scatter: list[np.ndarray]) -> list[list[float]]:
@@ -147,7 +151,7 @@ def _distance(p: int) -> Column:
 
 
 def estimate(rows: DataFrame, s: Settings) -> DataFrame:
-    """Location and inverse scatter by (lang, source) of ``rows``, whose groups are at least ``s.least_rows``."""
+    """Location, inverse scatter and the logarithm of its determinant by (lang, source) of ``rows``."""
     p = len(FEATURES)
     start = rows.groupBy("lang", "source").agg(*[F.percentile_approx(f, [k / (2 * HALF) for k in range(2 * HALF + 1)], 1000).alias(f) for f in FEATURES])
 
@@ -158,8 +162,9 @@ def estimate(rows: DataFrame, s: Settings) -> DataFrame:
             width = q[:, :, HALF:] - q[:, :, : HALF + 1]
             at = width.argmin(2)[:, :, None]
             low, high = (np.take_along_axis(q, at + k, 2)[:, :, 0].T for k in (0, HALF))
-            mu, scale = (low + high) / 2, (high - low) / 1.349
-            yield pd.DataFrame({"lang": pdf["lang"], "source": pdf["source"], "mu": mu.tolist(), "inv": _inverse(list(mu), [np.diag(x**2) for x in scale]), "logdet": np.inf, "open": True})
+            quarter = HALF // 2
+            for n, mu, scale in ((0, (low + high) / 2, (high - low) / 1.349), (1, q[:, :, HALF].T, (q[:, :, 3 * quarter] - q[:, :, quarter]).T / 1.349)):
+                yield pd.DataFrame({"lang": pdf["lang"], "source": pdf["source"], "start": n, "mu": mu.tolist(), "inv": _inverse(list(mu), [np.diag(x**2) for x in scale]), "logdet": np.inf, "open": True})
 
     params = c.stored(start.mapInPandas(first, PARAMS), "mcd")
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
@@ -178,42 +183,52 @@ def estimate(rows: DataFrame, s: Settings) -> DataFrame:
                 scatter[:, i, j] = scatter[:, j, i] = second[:, k] - mu[:, i] * mu[:, j]
             factor = np.array([consistent(x) for x in n[:, 0] / pdf["all"]])[:, None, None]
             inv = _inverse(list(mu), list(scatter * factor))
-            yield pd.DataFrame({"lang": pdf["lang"], "source": pdf["source"], "mu": mu.tolist(), "inv": inv, "logdet": -np.linalg.slogdet(np.array(inv).reshape(-1, p, p))[1], "open": True})
+            yield pd.DataFrame({"lang": pdf["lang"], "source": pdf["source"], "start": pdf["start"], "mu": mu.tolist(), "inv": inv, "logdet": -np.linalg.slogdet(np.array(inv).reshape(-1, p, p))[1], "open": True})
 
     while not params.filter("open").isEmpty():
         binned = rows.join(params.filter("open"), ["lang", "source"]).withColumn("bin", F.floor(BINS * F.log2(_distance(p) + 1e-6)).cast("int"))
         sums = [F.sum(f).alias(f) for f in FEATURES] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i, j in pairs]
-        by_bin = binned.groupBy("lang", "source", "bin").agg(F.count("*").alias("n"), *sums)
+        by_bin = binned.groupBy("lang", "source", "start", "bin").agg(F.count("*").alias("n"), *sums)
         # The bins with the least distances, up to the one in which the half is reached (some thousands of bins a group).
-        window = "partition by lang, source"
+        window = "partition by lang, source, start"
         kept = by_bin.withColumns({"before": F.expr(f"coalesce(sum(n) over ({window} order by bin rows between unbounded preceding and 1 preceding), 0)"), "all": F.expr(f"sum(n) over ({window})")})
         kept = kept.withColumn("half", F.floor((F.col("all") + p + 1) / 2)).filter("before < half").withColumn("part", F.least(F.lit(1.0), (F.col("half") - F.col("before")) / F.col("n")))
         part = lambda x: F.sum(F.col("part") * F.col(x))
-        total = kept.groupBy("lang", "source").agg(part("n").alias("n"), F.first("all").alias("all"), F.array(*[part(f) for f in FEATURES]).alias("sums"), F.array(*[part(f"p{i}{j}") for i, j in pairs]).alias("products"))
-        new = total.mapInPandas(concentrate, PARAMS).select("lang", "source", F.struct("mu", "inv", "logdet", "open").alias("new"))
+        total = kept.groupBy("lang", "source", "start").agg(part("n").alias("n"), F.first("all").alias("all"), F.array(*[part(f) for f in FEATURES]).alias("sums"), F.array(*[part(f"p{i}{j}") for i, j in pairs]).alias("products"))
+        new = total.mapInPandas(concentrate, PARAMS).select("lang", "source", "start", F.struct("mu", "inv", "logdet", "open").alias("new"))
         falls = F.coalesce(F.col("new.logdet") < F.col("logdet") - s.fall, F.lit(False))
         # Each step of an open group lowers its determinant, which has a least value, so the steps end; a group that stands is not read again.
         taken = [F.when(falls, F.col(f"new.{x}")).otherwise(F.col(x)).alias(x) for x in ("mu", "inv", "logdet")]
-        params = c.stored(params.join(new, ["lang", "source"], "left").select("lang", "source", *taken, falls.alias("open")), "mcd")
-    return params.select("lang", "source", "mu", "inv")
+        params = c.stored(params.join(new, ["lang", "source", "start"], "left").select("lang", "source", "start", *taken, falls.alias("open")), "mcd")
+    best = params.groupBy("lang", "source").agg(F.min_by(F.struct("mu", "inv", "logdet"), F.struct("logdet", "start")).alias("x"))
+    return best.select("lang", "source", "x.mu", "x.inv", "x.logdet")
 
 
 def judge(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """doc_id, the statistics, base_failed, distance (null without an estimate) and kept."""
+    """doc_id, the statistics, base_failed, distance (null only where the base rules have failed) and kept."""
     group = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("\x00"))
     some = docs.select(F.col(key).alias("doc_id"), group(lang).alias("lang"), group(source).alias("source"), F.col(text).alias("text"))
     rows = c.stored(with_statistics(some, drop=True).withColumn("base_failed", base_failed()), "statistics")
     vectors = rows.select("*", *features())
-    sizes = rows.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
-    pooled = sizes.withColumn("pool", F.when(F.col("n") >= settings.least_rows, F.col("source")).otherwise(F.lit("\x01pool")))
-    enough = pooled.groupBy("lang", "pool").agg(F.sum("n").alias("m")).filter(F.col("m") >= settings.least_rows)
-    groups = c.stored(pooled.join(enough, ["lang", "pool"]).select("lang", "source", "pool"), "groups")  # one row a group
-    placed = vectors.join(groups, ["lang", "source"], "left").withColumn("source", F.col("pool")).drop("pool")
-    params = estimate(placed.filter(~F.col("base_failed") & F.col("source").isNotNull()), settings)
+    passed = vectors.filter(~F.col("base_failed"))
+    sizes = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    enough = F.col("n") >= settings.least_rows
+    large = sizes.groupBy("lang").agg(F.sum("n").alias("m")).withColumn("large", F.col("m") >= settings.least_rows).select("lang", "large")
+    level = F.when(enough, 0).when(F.col("large"), 1).otherwise(2)
+    wider = lambda name, at: F.when(F.col("level") < at, F.col(name)).otherwise(F.lit(WIDER))
+    groups = sizes.join(large, "lang").withColumn("level", level).select("lang", "source", "level", wider("lang", 2).alias("of_lang"), wider("source", 1).alias("of_source"))
+    groups = c.stored(groups, "groups")  # one row a group
+    own = passed.join(groups.filter("level = 0").select("lang", "source"), ["lang", "source"])
+    languages = passed.join(groups.filter("level = 1").select("lang").distinct(), "lang").withColumn("source", F.lit(WIDER))
+    fitted = own.select(*FEATURES, "lang", "source").unionAll(languages.select(*FEATURES, "lang", "source"))
+    if not groups.filter("level = 2").isEmpty():
+        fitted = fitted.unionAll(passed.select(*FEATURES, F.lit(WIDER).alias("lang"), F.lit(WIDER).alias("source")))
+    params = estimate(fitted, settings)
+    placed = vectors.join(groups, ["lang", "source"], "left").drop("lang", "source").withColumnsRenamed({"of_lang": "lang", "of_source": "source"})
     p = len(FEATURES)
     cutoff = chi2_quantile(1 - settings.tail, p)
     out = placed.join(params, ["lang", "source"], "left").withColumn("distance", _distance(p))
-    return out.select("doc_id", *STATS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"))
+    return out.select("doc_id", *STATS, "base_failed", F.when(~F.col("base_failed"), F.col("distance")).alias("distance"), (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -273,6 +273,43 @@ def test_outliers_of_a_large_share(spark, odd, docs, junk):
     assert all(r["kept"] == (r["doc_id"] < 1000) for r in got)
 
 
+def test_outliers_against_brute_force(spark, docs):
+    """A group's determinant and verdicts against concentration steps from 300 random starts, over exact halves."""
+    rows = outliers.with_statistics(docs.select("doc_id", "text")).filter(~outliers.base_failed()).select("doc_id", *outliers.features()).collect()
+    x = np.array([[r[f] for f in outliers.FEATURES] for r in rows])
+    n, p = x.shape
+    half = (n + p + 1) // 2
+    factor = half / n / outliers.chi2_cdf(outliers.chi2_quantile(half / n, p), p + 2)
+    rng, best = np.random.default_rng(5), (np.inf, None)
+
+    def fit(at):
+        inv = np.array(outliers._inverse([x[at].mean(0)], [np.cov(x[at].T, bias=True) * factor])[0]).reshape(p, p)
+        d = np.einsum("ij,jk,ik->i", x - x[at].mean(0), inv, x - x[at].mean(0))
+        return -np.linalg.slogdet(inv)[1], d
+
+    for _ in range(300):
+        at, last = rng.choice(n, p + 1, replace=False), np.inf
+        while True:
+            det, d = fit(at)
+            if len(at) == half and det >= last - 1e-9:
+                break
+            last, at = det if len(at) == half else np.inf, np.argsort(d, kind="stable")[:half]
+        best = min(best, (det, d), key=lambda b: b[0])
+    one = docs.withColumns({"lang": F.lit("x"), "source": F.lit("y")})
+    got = {r["doc_id"]: r for r in outliers.judge(one).filter("not base_failed").collect()}
+    params = outliers.estimate(spark.createDataFrame([("x", "y", *map(float, v)) for v in x], "lang string, source string, " + ", ".join(f"{f} double" for f in outliers.FEATURES)), outliers.Settings()).first()
+    assert math.exp((params["logdet"] - best[0]) / (2 * p)) <= 1.05  # of an axis of the ellipsoid, on average
+    cutoff = outliers.chi2_quantile(1 - outliers.Settings().tail, p)
+    assert np.mean([got[r["doc_id"]]["kept"] == (d <= cutoff) for r, d in zip(rows, best[1], strict=True)]) >= 0.98
+
+
+def test_outliers_have_a_verdict_at_every_size(spark, docs, odd):
+    for frame in (docs, docs.limit(30), docs.limit(3), odd):
+        out = outliers.judge(frame).collect()
+        assert len(out) == frame.count() and all((r["distance"] is None) == r["base_failed"] for r in out)
+    assert outliers.judge(odd.limit(0)).count() == 0
+
+
 def test_jaccard(spark, docs, odd, texts):
     shingler = jaccard_join.Shingler()
     near = [(2000 + d, t.replace("the", "thee", 1)) for d, t in texts.items() if len(t) < 4000]
