@@ -6,38 +6,55 @@ import math
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def hash_of(key: str, seed: int) -> Column:
-    """A seeded hash of a row's key as hexadecimal text; the same on every engine that has md5."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    """A seeded hash of a row's key as hexadecimal text; the same on every engine that has md5. A null key has one too."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("\x00"))))
+
+
+def _reach(rows: DataFrame, column: str, n: int):
+    """The value of the n-th row by the column, how many rows of that value belong to the first n, and how many there are."""
+    last = rows.select(column).orderBy(column).limit(n).orderBy(F.desc(column)).limit(1).first()[0]
+    seen = rows.agg(F.count_if(F.col(column) < F.lit(last)).alias("less"), F.count_if(F.col(column) == F.lit(last)).alias("same")).first()
+    return last, n - seen["less"], seen["same"]
 
 
 def first_by_hash(df: DataFrame, key: str, n: int, seed: int, flag: str) -> DataFrame:
-    """Flag the n rows with the least seeded hashes (ties: the lesser key), without a global sort.
+    """Flag exactly n rows (all, if there are fewer): those with the least seeded hashes, without a global sort.
 
     Counts by the hash's first four digits (65,536 at most) tell in which of
-    these ranges the n-th row lies; only that range is ranked.
+    these ranges the n-th row lies; only that range is ranked. Rows that share
+    the key at the edge are told apart by a hash of the whole row, and rows that
+    are equal in all columns, which may be flagged in any order, by their number.
     """
-    h = hash_of(key, seed)
-    part = F.substring(h, 1, 4)
+    names = df.columns
+    marked = df.withColumns({"_h": hash_of(key, seed), "_r": F.xxhash64(*[F.struct(F.col(f"`{c}`")) for c in names])})
+    if n <= 0:
+        return df.withColumn(flag, F.lit(False))
+    part = F.substring("_h", 1, 4)
     total, edge, rest = 0, None, 0
-    for r in df.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+    for r in marked.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
         if total + r["n"] >= n:
             edge, rest = r["part"], n - total
             break
         total += r["n"]
-    marked = df.withColumn("_h", h)
     if edge is None:
-        return marked.withColumn(flag, F.lit(True)).drop("_h")
-    inside = marked.filter(F.substring("_h", 1, 4) == edge).select("_h", F.col(key).alias("_k")).orderBy("_h", "_k").limit(rest)
-    last = inside.orderBy(F.desc("_h"), F.desc("_k")).limit(1).collect()
-    if not last:
-        return marked.withColumn(flag, F.lit(False)).drop("_h")
-    h0, k0 = last[0]["_h"], last[0]["_k"]
-    return marked.withColumn(flag, (F.col("_h") < h0) | ((F.col("_h") == h0) & (F.col(key) <= F.lit(k0)))).drop("_h")
+        return df.withColumn(flag, F.lit(True))
+    inside = marked.filter(part == edge)
+    h, take, same = _reach(inside, "_h", rest)
+    below = F.col("_h") < h
+    if take == same:
+        return marked.withColumn(flag, below | (F.col("_h") == h)).drop("_h", "_r")
+    r, more, equal = _reach(inside.filter(F.col("_h") == h), "_r", take)
+    tie = (F.col("_h") == h) & (F.col("_r") == r)
+    out = marked.withColumn(flag, below | ((F.col("_h") == h) & (F.col("_r") <= r)))
+    if more < equal:
+        number = F.row_number().over(Window.partitionBy("_r").orderBy(F.monotonically_increasing_id()))
+        out = out.filter(~tie).unionByName(out.filter(tie).withColumn(flag, number <= more))
+    return out.drop("_h", "_r")
 
 
 def sample_exact(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -50,10 +67,15 @@ def split_train_test(df: DataFrame, key: str, fraction: str = "0.3", seed: int =
     return first_by_hash(df, key, math.ceil(Decimal(fraction) * n), seed, "is_test")
 
 
-def split_by_time(df: DataFrame, time: str, fraction: float = 0.3) -> DataFrame:
-    """Add is_test: the latest rows, about the fraction (ties at the edge stay together)."""
-    edge = df.agg(F.percentile_approx(F.col(time).cast("timestamp"), 1 - fraction, 100000)).first()[0]
-    return df.withColumn("is_test", F.col(time).cast("timestamp") > F.lit(edge))
+def split_by_time(df: DataFrame, time: str, key: str, fraction: str = "0.3") -> DataFrame:
+    """Add is_test: the latest rows, the fraction of them rounded up; ties in time go by the key. Null times are training rows."""
+    at = F.struct(F.col(time).alias("t"), F.col(key).alias("k"))
+    timed = df.filter(F.col(time).isNotNull())
+    n = math.ceil(Decimal(fraction) * timed.count())
+    if n == 0:
+        return df.withColumn("is_test", F.lit(False))
+    edge = timed.select(at.alias("at")).orderBy(F.desc("at")).limit(n).agg(F.min("at").alias("edge"))  # one row
+    return df.crossJoin(F.broadcast(edge)).withColumn("is_test", F.coalesce(at >= F.col("edge"), F.lit(False)) & F.col(time).isNotNull()).drop("edge")
 
 
 def fold_of(key: str, k: int, seed: int = 42) -> Column:

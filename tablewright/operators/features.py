@@ -32,10 +32,15 @@ class Registry:
 
 
 def leave_one_out(df: DataFrame, group: str, value: Column, name: str) -> DataFrame:
-    """The mean of the group's other rows; null for a group of one. Training rows only."""
-    w = Window.partitionBy(group)
-    v = value
-    return df.withColumn(name, F.try_divide((F.sum(v).over(w) - v).cast("double"), F.count(v).over(w) - 1))
+    """The mean of the group's other rows; null for a group of one. Training rows only; null is a group.
+
+    Sums and counts are combined in the tasks and joined back, so that a group with many rows is not brought together.
+    """
+    rows = df.withColumn("_value", value)
+    sums = rows.groupBy(F.col(group).alias("_group")).agg(F.sum("_value").alias("_sum"), F.count("_value").alias("_count"))
+    joined = rows.join(sums, F.col(group).eqNullSafe(F.col("_group")))
+    mean = F.try_divide((F.col("_sum") - F.coalesce("_value", F.lit(0))).cast("double"), F.col("_count") - F.col("_value").isNotNull().cast("int"))
+    return joined.withColumn(name, mean).drop("_value", "_group", "_sum", "_count")
 
 
 def fit_group_means(train: DataFrame, group: str, value: Column, name: str) -> DataFrame:
@@ -70,5 +75,35 @@ def one_hot(column: str, categories: list) -> list[Column]:
 
 def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     """Fill nulls with the mean and say where, for models that take no missing values."""
-    means = df.agg(*[F.avg(n).alias(n) for n in columns]).first()
-    return df.withColumns({f"{n}_missing": F.col(n).isNull().cast("int") for n in columns} | {n: F.coalesce(F.col(n).cast("double"), F.lit(means[n])) for n in columns})
+    return imputed(df, {n: m for n, m in df.agg(*[F.avg(n).alias(n) for n in columns]).first().asDict().items()})
+
+
+def imputed(df: DataFrame, means: dict[str, float]) -> DataFrame:
+    """Fill nulls with given means (those of the training) and say where."""
+    return df.withColumns({f"{n}_missing": F.col(n).isNull().cast("int") for n in means} | {n: F.coalesce(F.col(n).cast("double"), F.lit(m)) for n, m in means.items()})
+
+
+@dataclass(frozen=True)
+class TargetEncoder:
+    """A feature from the target: the mean of ``value`` over the other training rows of the group."""
+
+    group: str
+    value: Column
+    name: str
+
+    def fit(self, train: DataFrame) -> TargetEncoding:
+        return TargetEncoding(self, fit_group_means(train, self.group, self.value, self.name))
+
+
+@dataclass(frozen=True)
+class TargetEncoding:
+    """A fitted encoder: training rows leave their own target out, all others take the group's mean."""
+
+    encoder: TargetEncoder
+    means: DataFrame
+
+    def transform_train(self, train: DataFrame) -> DataFrame:
+        return leave_one_out(train, self.encoder.group, self.encoder.value, self.encoder.name)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return apply_group_means(df, self.means, self.encoder.group)

@@ -3,65 +3,189 @@
 from __future__ import annotations
 
 import random
+import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import MaxAbsScaler, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import MaxAbsScaler, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import Metric, evaluate, rrse
 from .dataset import fold_of
+from .features import FeatureSpec, TargetEncoder, TargetEncoding, imputed, scales
 
+#: Of each tree of a forest. Deeper trees, up to Spark's 30, can be asked for by a factory of one's own.
+FOREST_DEPTH = 8
 #: Estimators by name: factories, so that each use is unfitted.
 CLASSIFIERS: dict[str, Callable] = {
     "logistic_regression": lambda rows: LogisticRegression(maxIter=1000, regParam=1.0 / max(rows, 1), standardization=False, labelCol="target"),
-    "random_forest": lambda rows: RandomForestClassifier(numTrees=100, seed=42, labelCol="target"),
+    "random_forest": lambda rows: RandomForestClassifier(numTrees=100, maxDepth=FOREST_DEPTH, seed=42, labelCol="target"),
     "decision_tree": lambda rows: DecisionTreeClassifier(maxDepth=2, seed=42, labelCol="target"),
     "gradient_boosting": lambda rows: GBTClassifier(maxIter=20, seed=42, labelCol="target"),
 }
 REGRESSORS: dict[str, Callable] = {
     "linear_regression": lambda rows: LinearRegression(solver="normal", regParam=1e-6, labelCol="target"),
-    "random_forest": lambda rows: RandomForestRegressor(numTrees=100, seed=42, labelCol="target"),
+    "random_forest": lambda rows: RandomForestRegressor(numTrees=100, maxDepth=FOREST_DEPTH, seed=42, labelCol="target"),
     "decision_tree": lambda rows: DecisionTreeRegressor(maxDepth=2, seed=42, labelCol="target"),
     "gradient_boosting": lambda rows: GBTRegressor(maxIter=20, seed=42, labelCol="target"),
     "gradient_boosting_tuned": lambda rows: GBTRegressor(maxIter=20, maxDepth=10, minInstancesPerNode=48, seed=42, labelCol="target"),
 }
 
 
-def pipeline(estimator, numeric: list[str], categorical: list[str], max_abs: bool = False) -> Pipeline:
-    """Categories to one column a value (unknown ones: zeros), all into one vector, then the estimator."""
-    stages = [StringIndexer(inputCols=categorical, outputCols=[f"{n}_index" for n in categorical], stringOrderType="alphabetAsc", handleInvalid="keep"), OneHotEncoder(inputCols=[f"{n}_index" for n in categorical], outputCols=[f"{n}_hot" for n in categorical], dropLast=True)] if categorical else []
-    stages.append(VectorAssembler(inputCols=[*numeric, *[f"{n}_hot" for n in categorical]], outputCol="raw" if max_abs else "features"))
+def pipeline(estimator, numeric: list[str], categorical: list[str], max_abs: bool = False, scaling: dict[str, tuple[float, float]] | None = None) -> Pipeline:
+    """Scaled numbers and categories, one column a value (unknown ones: zeros), all into one vector, then the estimator.
+
+    ``scaling`` has (center, scale) of columns as fitted on the training rows, see ``features.scales``.
+    """
+    scaling = scaling or {}
+    stages = [SQLTransformer(statement="SELECT *, " + ", ".join(f"(`{n}` - {c!r}D) / {s!r}D AS `{n}_scaled`" for n, (c, s) in scaling.items()) + " FROM __THIS__")] if scaling else []
+    if categorical:
+        stages += [StringIndexer(inputCols=categorical, outputCols=[f"{n}_index" for n in categorical], stringOrderType="alphabetAsc", handleInvalid="keep"), OneHotEncoder(inputCols=[f"{n}_index" for n in categorical], outputCols=[f"{n}_hot" for n in categorical], dropLast=True)]
+    stages.append(VectorAssembler(inputCols=[*[f"{n}_scaled" if n in scaling else n for n in numeric], *[f"{n}_hot" for n in categorical]], outputCol="raw" if max_abs else "features"))
     if max_abs:
         stages.append(MaxAbsScaler(inputCol="raw", outputCol="features"))
     return Pipeline(stages=[*stages, estimator])
 
 
+@dataclass(frozen=True)
+class Learner:
+    """A model by its parts: feature units, optional target encoders, and a factory of the estimator by the number of training rows.
+
+    Scales, categories, encodings and the means for missing encodings are all fitted on the training rows.
+    """
+
+    name: str
+    estimator: Callable
+    features: tuple[FeatureSpec, ...]
+    encoders: tuple[TargetEncoder, ...] = ()
+    max_abs: bool = False
+
+    def fit(self, train: DataFrame) -> FittedLearner:
+        encodings = [e.fit(train) for e in self.encoders]
+        rows = train
+        for e in encodings:
+            rows = e.transform_train(rows)
+        names = [e.name for e in self.encoders]
+        means = {n: m if m is not None else 0.0 for n, m in rows.agg(*[F.avg(n).alias(n) for n in names]).first().asDict().items()} if names else {}
+        rows = imputed(rows, means)
+        numeric = [n for f in self.features if not f.categorical for n in f.columns] + [x for n in names for x in (n, f"{n}_missing")]
+        rules = {n: f.rule for f in self.features if not f.categorical and f.rule != "skip" for n in f.columns} | dict.fromkeys(names, "maxabs")
+        categorical = [n for f in self.features if f.categorical for n in f.columns]
+        fitted = pipeline(self.estimator(rows.count()), numeric, categorical, self.max_abs, scales(rows, rules) if rules else None).fit(rows)
+        return FittedLearner(self.name, fitted, encodings, means)
+
+
+@dataclass(frozen=True)
+class FittedLearner:
+    name: str
+    model: PipelineModel
+    encodings: list[TargetEncoding]
+    means: dict[str, float]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``prediction`` to rows that were not in the training."""
+        for e in self.encodings:
+            df = e.transform(df)
+        return self.model.transform(imputed(df, self.means))
+
+
+@dataclass(frozen=True)
+class NearestNeighbour:
+    """1-NN as a model: the target of the nearest training row, by columns scaled as fitted on the training rows."""
+
+    name: str
+    key: str
+    columns: tuple[str, ...]
+    rule: str = "standardise"
+
+    def fit(self, train: DataFrame) -> FittedNeighbour:
+        return FittedNeighbour(self, train, scales(train, dict.fromkeys(self.columns, self.rule)))
+
+
+@dataclass(frozen=True)
+class FittedNeighbour:
+    learner: NearestNeighbour
+    train: DataFrame
+    scaling: dict[str, tuple[float, float]]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``prediction``: a stated query set against all training rows, in blocks. The key is unique and never null."""
+        key, columns = self.learner.key, list(self.learner.columns)
+        queries, known = (x.withColumns({n: (F.col(n) - c) / s for n, (c, s) in self.scaling.items()}) for x in (df, self.train))
+        near = nearest_neighbour(queries, known, key, columns, "target", itself=True)
+        return df.join(near.select(F.col("query_key").alias(key), F.col("neighbour_target").alias("prediction")), key)
+
+
 def regressor_as_classifier(prediction: str, threshold: float, positive: str, negative: str) -> list[Column]:
     """The class and hard probabilities that a regression's prediction stands for; the threshold is positive."""
     hit = F.col(prediction) >= threshold
     return [F.when(hit, positive).otherwise(negative).alias("predicted_class"), F.when(hit, 1.0).otherwise(0.0).alias(f"p_{positive}"), F.when(hit, 0.0).otherwise(1.0).alias(f"p_{negative}")]
 
 
-def nearest_neighbour(queries: DataFrame, train: DataFrame, key: str, columns: list[str], target: str, partitions: int | None = None) -> DataFrame:
+#: Rows of a block of queries, and of training rows, that are compared at once.
+BLOCK_ROWS = 2000
+
+
+def nearest_neighbour(queries: DataFrame, train: DataFrame, key: str, columns: list[str], target: str, itself: bool = False) -> DataFrame:
     """Exact 1-NN by Euclidean distance, ties to the least key: a stated query set against all rows.
 
-    Every task holds a part of the training rows and gives each query its
-    nearest there; the minimum over tasks follows. Use on query sets of a bounded size.
+    Both sides are cut into blocks; each pair of blocks gives the nearest training row of every query there, and
+    the minimum over blocks follows. Rows with a null in a column are near nothing. Without ``itself`` a row with
+    the query's key is no neighbour of it.
     """
-    q = queries.select(F.col(key).alias("query_key"), *[F.col(n).cast("double").alias(f"q_{n}") for n in columns])
-    t = train.select(F.col(key).alias("neighbour_key"), F.col(target).alias("neighbour_target"), *[F.col(n).cast("double").alias(n) for n in columns])
-    d2 = sum(((F.col(f"q_{n}") - F.col(n)) * (F.col(f"q_{n}") - F.col(n)) for n in columns), F.lit(0.0))
-    near = q.crossJoin(t).filter("query_key <> neighbour_key").groupBy("query_key").agg(F.min(F.struct(d2.alias("d2"), "neighbour_key", "neighbour_target")).alias("x"))
+    kind, value = train.schema[key].dataType.simpleString(), train.schema[target].dataType.simpleString()
+    point = F.array(*[F.col(n).cast("double") for n in columns]).alias("x")
+    some = lambda df: df.dropna(subset=[key, *columns])
+
+    def blocks(df: DataFrame, *more) -> DataFrame:
+        rows = some(df).select(F.col(key).alias("k"), point, *more).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(max(1, -(-some(df).count() // BLOCK_ROWS)))))
+        return rows.groupBy("b").agg(F.collect_list(F.struct(*[n for n in rows.columns if n != "b"])).alias("rows")).select("rows")
+
+    q, t = blocks(queries).withColumnRenamed("rows", "q"), blocks(train, F.col(target).alias("y")).withColumnRenamed("rows", "t")
+
+    def nearest(batches):
+        for pdf in batches:
+            for left, right in zip(pdf["q"], pdf["t"], strict=True):
+                right = sorted(right, key=lambda r: r["k"])
+                keys = np.array([r["k"] for r in right])
+                d2 = np.zeros((len(left), len(right)))
+                for n in range(len(columns)):
+                    gap = np.array([r["x"][n] for r in left])[:, None] - np.array([r["x"][n] for r in right])[None, :]
+                    d2 += gap * gap
+                if not itself:
+                    d2[np.array([r["k"] for r in left])[:, None] == keys[None, :]] = np.inf
+                at = d2.argmin(1)
+                ok = np.flatnonzero(np.isfinite(d2[np.arange(len(left)), at]))
+                yield pd.DataFrame({"query_key": [left[i]["k"] for i in ok], "d2": d2[ok, at[ok]], "neighbour_key": [right[at[i]]["k"] for i in ok], "neighbour_target": [right[at[i]]["y"] for i in ok]})
+
+    pairs = q.crossJoin(t).repartition(max(1, train.sparkSession.sparkContext.defaultParallelism))  # one row a pair of blocks
+    found = pairs.mapInPandas(nearest, f"query_key {kind}, d2 double, neighbour_key {kind}, neighbour_target {value}")
+    near = found.groupBy("query_key").agg(F.min(F.struct("d2", "neighbour_key", "neighbour_target")).alias("x"))
     return near.select("query_key", F.col("x.neighbour_key").alias("neighbour_key"), F.col("x.neighbour_target").alias("neighbour_target"))
 
 
+def per_group(df: DataFrame, group: str, x: str, y: str, minimum: int = 2) -> DataFrame:
+    """One least-squares line for each group, all in one aggregation: the group, n, slope, intercept. Groups with fewer rows have none."""
+    return df.groupBy(group).agg(F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias("n"), F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept")).filter(F.col("n") >= minimum)
+
+
+def train_models(df: DataFrame, group: str, make: Callable[[], Learner], values: list | None = None) -> dict:
+    """A model of any kind for each of a few groups (regions), each fitted on its group only."""
+    values = [r[0] for r in df.select(group).distinct().orderBy(group).limit(101).collect()] if values is None else values
+    if len(values) > 100:
+        raise ValueError("more than 100 groups: name those that need a model, or use per_group")
+    return {v: make().fit(df.filter(F.col(group).eqNullSafe(F.lit(v)))) for v in values}
+
+
 def compare(models: dict[str, Callable[[DataFrame], Callable[[DataFrame], DataFrame]]], train: DataFrame, test: DataFrame, metrics: tuple[Metric, ...], truth: str, prediction: str = "prediction") -> DataFrame:
     """One row a model: fit on train, predict test, all metrics; best first by the first metric."""
-    out = None
+    out, train, test = None, train.persist(), test.persist()
     for name, fit in models.items():
         row = evaluate(fit(train)(test), metrics, truth, prediction).select(F.lit(name).alias("model"), "*")
         out = row if out is None else out.unionByName(row)
@@ -87,19 +211,41 @@ def cross_validate(df: DataFrame, key: str, k: int, fit: Callable[[DataFrame], C
 SPACE = {"maxDepth": (int, 3, 10), "minInstancesPerNode": (int, 1, 100)}
 
 
-def search(model: str, train: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str], trials: int, seed: int = 21, first: dict | None = None) -> list[dict]:
-    """Seeded random search with a given first point; trials with their RRSE, best first."""
+def search(model: str, train: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str], trials: int, seed: int = 21, first: dict | None = None, seconds: float | None = None, sink: str | None = None, **fixed) -> list[dict]:
+    """Seeded random search with a given first point; trials with their RRSE, best first.
+
+    It ends after ``trials`` or, between trials, after ``seconds``. With ``sink`` each trial is appended to a
+    Parquet table as soon as it is known, and trials that are there already are not fitted again.
+    """
     if model not in ("gradient_boosting", "random_forest"):
         raise ValueError(f"unknown model: {model}")
+    spark, began = train.sparkSession, time.monotonic()
     kind, rng = {"gradient_boosting": GBTRegressor, "random_forest": RandomForestRegressor}[model], random.Random(seed)
     points = [first] * (first is not None) + [{n: rng.randint(a, b) for n, (_, a, b) in SPACE.items()} for _ in range(trials - (first is not None))]
-    out = []
+    out = load_trials(spark, sink, model) if sink else []
     for p in points:
-        fitted = pipeline(kind(labelCol="target", seed=42, **p), numeric, categorical).fit(train)
+        if any(all(t[n] == v for n, v in p.items()) for t in out):
+            continue
+        if seconds is not None and out and time.monotonic() - began > seconds:
+            break
+        fitted = pipeline(kind(labelCol="target", seed=42, **p, **fixed), numeric, categorical).fit(train)
         out.append(p | {"RRSE": evaluate(fitted.transform(test), (rrse(),), "target", "prediction").first()[0]})
+        if sink:
+            spark.createDataFrame([(model, *[out[-1][n] for n in SPACE], out[-1]["RRSE"])], TRIAL).write.mode("append").parquet(sink)
     return sorted(out, key=lambda t: t["RRSE"])
 
 
+TRIAL = "model string, " + ", ".join(f"{n} int" for n in SPACE) + ", RRSE double"
+
+
+def load_trials(spark: SparkSession, sink: str, model: str) -> list[dict]:
+    """The trials of a model in a sink, none if there is no sink yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return []
+    return [{n: r[n] for n in (*SPACE, "RRSE")} for r in spark.read.schema(TRIAL).parquet(sink).filter(F.col("model") == model).collect()]
+
+
 def score(model: PipelineModel, records: DataFrame) -> DataFrame:
     """Predictions for a batch or a stream of raw records; all transforms are in the model."""
     return model.transform(records)

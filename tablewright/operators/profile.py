@@ -4,15 +4,36 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, mean, std (sample), min, quartiles (exact, interpolated), max."""
-    stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "low": F.min, "q1": lambda x: F.percentile(x, 0.25), "median": lambda x: F.percentile(x, 0.5), "q3": lambda x: F.percentile(x, 0.75), "high": F.max}
-    one = df.agg(*[F.struct(F.lit(c).alias("column"), *[f(F.col(c).cast("double")).cast("long" if n == "n" else "double").alias(n) for n, f in stats.items()]).alias(c) for c in columns])
-    return one.select(F.explode(F.array(*columns)).alias("x")).select("x.*")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")).select("v.*")
+    # Ranks come from counts by value: each value is one row, however often it occurs, and no task holds all values of a column.
+    counts = long.filter("x is not null").groupBy("column", "x").agg(F.count("*").alias("n"))
+    stats = long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("low"), F.max("x").alias("high"))
+    return stats.join(quantiles(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75}), "column", "left").select("column", "n", "mean", "std", "low", "q1", "median", "q3", "high")
+
+
+#: Ranges of a column's values that are counted before ranks are sought inside those that hold them.
+RANGES = 4096
+
+
+def quantiles(counts: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """column and its exact, interpolated quantiles from (column, x, n): only the ranges that hold a wanted rank are sorted."""
+    ends = counts.groupBy("column").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("all"))
+    ranged = counts.join(F.broadcast(ends), "column").withColumn("range", F.coalesce(F.least(F.floor((F.col("x") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * RANGES), F.lit(RANGES - 1)), F.lit(0)))
+    sizes = ranged.groupBy("column", "range", "all").agg(F.sum("n").alias("m"))  # RANGES rows a column at most
+    before = sizes.withColumn("before", F.sum("m").over(Window.partitionBy("column").orderBy("range")) - F.col("m"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("all") - 1)).alias("rank")) for name, q in shares.items()])
+    places = before.withColumn("w", F.explode(wanted)).select("column", "range", "before", "m", "w.*").withColumn("end", F.explode(F.array(F.floor("rank"), F.ceil("rank")))).filter("before <= end and end < before + m")
+    inside = ranged.join(F.broadcast(places.select("column", "range", "before").distinct()), ["column", "range"])
+    placed = inside.withColumn("first", F.col("before") + F.sum("n").over(Window.partitionBy("column", "range").orderBy("x")) - F.col("n"))
+    found = placed.join(F.broadcast(places.select("column", "range", "name", "rank", "end").distinct()), ["column", "range"]).filter("first <= end and end < first + n")
+    each = found.groupBy("column", "name", "rank").agg(F.min("x").alias("a"), F.max("x").alias("b")).withColumn("v", F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank")))
+    return each.groupBy("column").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -42,3 +63,10 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
+
+
+def scatter(df: DataFrame, x: str, y: str, by: str | None = None, most: int = 5000, seed: int = 42) -> DataFrame:
+    """The points of a scatter plot: a sample of at most so many rows, which is what a plot can show."""
+    columns = [x, y, *([by] if by else [])]
+    n = df.count()
+    return df.select(*columns) if n <= most else df.select(*columns).sample(min(1.0, 1.2 * most / n), seed).limit(most)

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import metrics as M
 from ..operators import dataset as D
+from ..operators import experiment as R
 from ..operators import features as X
 from ..operators import models as E
 from ..operators import profile as P
@@ -354,11 +356,23 @@ def model_rows(spark, d, classify: bool):
     return train, rows.filter(test), train.count()
 
 
+REGISTRY = X.Registry()
+REGISTRY.register("price", lambda: X.FeatureSpec(("l_extendedprice",), rule="standardise"))
+REGISTRY.register("rates", lambda: X.FeatureSpec(("l_discount", "l_tax"), rule="maxabs"))
+REGISTRY.register("flags", lambda: X.FeatureSpec(("l_returnflag", "l_linestatus"), categorical=True))
+#: The units that a model has by default; more can be added to them.
+DEFAULT = ("price", "rates", "flags")
+
+
+def learner(name: str, estimator, features: tuple[str, ...] = DEFAULT, add: tuple[str, ...] = (), **more) -> E.Learner:
+    return E.Learner(name, estimator, tuple(REGISTRY.collect(*features, *add)), **more)
+
+
 def model_query(kind: str, name: str, factory, classify: bool):
     @query(f"model_{kind}_{name}")
     def run(spark, d):
-        train, test, n = model_rows(spark, d, classify)
-        fitted = E.pipeline(factory(n), ["l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"]).fit(train)
+        train, test, _ = model_rows(spark, d, classify)
+        fitted = learner(name, factory).fit(train)
         ms = M.classification(1.0) if classify else M.REGRESSION
         return M.evaluate(fitted.transform(test), ms, "target", "prediction").select(F.lit(name).alias("model"), "*")
 
@@ -366,21 +380,83 @@ def model_query(kind: str, name: str, factory, classify: bool):
 for _n, _f in E.CLASSIFIERS.items():
     model_query("classifier", _n, _f, True)
 for _n, _f in E.REGRESSORS.items():
-    if _n != "gradient_boosting_tuned":
-        model_query("regressor", _n, _f, False)
+    model_query("regressor", _n, _f, False)
+
+
+def priced_orders(spark, d):
+    """Orders with their price as target; the customer is the group of the encoder."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.dayofyear("o_orderdate").alias("day"), F.col("o_totalprice").alias("target"))
+    units = (X.FeatureSpec(("day",), rule="standardise"), X.FeatureSpec(("o_orderpriority",), categorical=True))
+    encoder = X.TargetEncoder("o_custkey", cents("target") / 100, "customer_mean")
+    linear = E.REGRESSORS["linear_regression"]
+    return rows, [E.Learner("linear", linear, units), E.Learner("linear_encoded", linear, units, (encoder,)), E.Learner("tree_encoded", E.REGRESSORS["decision_tree"], units, (encoder,))]
+
+
+@query("compare_learners")
+def compare_learners(spark, d):
+    rows, learners = priced_orders(spark, d)
+    return R.evaluate_learners(rows, "o_orderkey", learners)
+
+
+@query("cross_validate_learner")
+def cross_validate_learner(spark, d):
+    rows, learners = priced_orders(spark, d)
+    return R.cross_validate_learner(rows, "o_orderkey", learners[1])
+
+
+TRAIN_LINES = "select * from lineitem where cast('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey), 1, 6) as bigint) % 10 >= 3"
+
+
+def train_lines(spark, d):
+    rows = table(spark, d, "lineitem")
+    return rows, rows.filter(F.conv(F.substring(F.md5(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey")), 1, 6), 16, 10).cast("long") % 10 >= 3)
+
+
+@query("linear_regression_line", f"select round(regr_slope(l_extendedprice, l_quantity), 3) as slope, round(regr_intercept(l_extendedprice, l_quantity), 2) as intercept from ({TRAIN_LINES})")
+def linear_regression_line(spark, d):
+    """The fitted regression of one feature, against the closed form."""
+    _, train = train_lines(spark, d)
+    fitted = E.pipeline(LinearRegression(solver="normal", labelCol="target"), ["l_quantity"], []).fit(train.select("l_quantity", F.col("l_extendedprice").alias("target"))).stages[-1]
+    return spark.createDataFrame([(float(fitted.coefficients[0]), float(fitted.intercept))], "slope double, intercept double").select(F.round("slope", 3).alias("slope"), F.round("intercept", 2).alias("intercept"))
+
+
+@query("scale_fitted_on_train", f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_quantity - m) / s, 6) as l_quantity from lineitem, (select avg(l_quantity) as m, stddev_pop(l_quantity) as s from ({TRAIN_LINES}))")
+def scale_fitted_on_train(spark, d):
+    rows, train = train_lines(spark, d)
+    fitted = X.scales(train, {"l_quantity": "standardise"})
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *X.scaled(fitted)).withColumn("l_quantity", F.round("l_quantity", 6))
+
+
+@query("model_per_group", "select l_returnflag, count(*) as n, round(regr_slope(l_extendedprice, l_quantity), 4) as slope, round(regr_intercept(l_extendedprice, l_quantity), 3) as intercept from lineitem group by l_returnflag")
+def model_per_group(spark, d):
+    return E.per_group(table(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice").withColumns({"slope": F.round("slope", 4), "intercept": F.round("intercept", 3)})
+
+
+@query("split_by_time", "select event_id, row_number() over (order by ts desc, event_id desc) <= ceil(0.3 * count(*) over ()) as is_test from events")
+def split_by_time(spark, d):
+    return D.split_by_time(table(spark, d, "events").select("event_id", "ts"), "ts", "event_id").select("event_id", "is_test")
+
+
+@query("nearest_neighbour_classifier", """with n as (select q.p_retailprice >= 1500 as y, t.p_retailprice >= 1500 as p, row_number() over (partition by q.p_partkey order by (q.p_size - t.p_size) * (q.p_size - t.p_size)::double, t.p_partkey) as k from part q, part t where q.p_partkey % 50 = 0 and t.p_partkey % 50 <> 0)
+    select avg(cast(y = p as integer)) as accuracy, count(*) as n from n where k = 1""")
+def nearest_neighbour_classifier(spark, d):
+    """1-NN as a model: the rows whose key is divisible by 50 against all others, by size."""
+    part = table(spark, d, "part").select("p_partkey", "p_size", (F.col("p_retailprice") >= 1500).cast("double").alias("target"))
+    near = E.NearestNeighbour("nearest", "p_partkey", ("p_size",), "skip").fit(part.filter("p_partkey % 50 <> 0")).transform(part.filter("p_partkey % 50 = 0"))
+    return near.agg(M.accuracy().of(F.col("target"), F.col("prediction")).alias("accuracy"), F.count("*").alias("n"))
 
 
 @query("hyperparameter_search")
 def hyperparameter_search(spark, d):
     train, test, _ = model_rows(spark, d, False)
-    trials = E.search("random_forest", train, test, ["l_extendedprice", "l_discount", "l_tax"], ["l_returnflag"], trials=2, first={"maxDepth": 4, "minInstancesPerNode": 10})
+    trials = E.search("gradient_boosting", train.persist(), test.persist(), ["l_extendedprice", "l_discount", "l_tax"], ["l_returnflag"], trials=3, first={"maxDepth": 4, "minInstancesPerNode": 48}, maxIter=5)
     return spark.createDataFrame([(t["maxDepth"], t["minInstancesPerNode"], t["RRSE"]) for t in trials], "maxDepth int, minInstancesPerNode int, RRSE double")
 
 
 @query("score_records")
 def score_records(spark, d):
-    train, _, n = model_rows(spark, d, False)
-    model = E.pipeline(E.REGRESSORS["linear_regression"](n), ["l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"]).fit(train)
+    train, _, _ = model_rows(spark, d, False)
+    model = learner("linear", E.REGRESSORS["linear_regression"]).fit(train).model
     schema = T.StructType.fromDDL("l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string")
     one = {"l_extendedprice": 40000.0, "l_discount": 0.05, "l_tax": 0.02, "l_returnflag": "N", "l_linestatus": "O"}
     return E.score(model, records(spark, [one, one | {"l_returnflag": "unseen"}], schema)).select("l_extendedprice", "l_returnflag", "prediction")
