@@ -18,7 +18,11 @@ SLICE_ROWS = 256
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of this application, below spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_SCRATCH
     return f"{base.rstrip('/')}/tablewright/{spark.sparkContext.applicationId}"
 
 

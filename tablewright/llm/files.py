@@ -14,13 +14,16 @@ def open_fs(path: str) -> tuple[fs.FileSystem, str]:
 
 @contextmanager
 def writing(path: str):
-    """A stream to a file that appears under its name only when complete; a repeated task replaces it by the same bytes."""
+    """A stream to a file that appears under its name only when complete; a repeated task, which has the same bytes, leaves a complete file."""
     system, place = open_fs(path)
     system.create_dir(place.rpartition("/")[0], recursive=True)
     part = f"{place}.{uuid.uuid4().hex}.part"
     with system.open_output_stream(part) as out:
         yield out
-    system.move(part, place)
+    if system.get_file_info(place).type == fs.FileType.File:
+        system.delete_file(part)
+    else:
+        system.move(part, place)
 
 
 def reading(path: str):

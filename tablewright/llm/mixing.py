@@ -8,13 +8,14 @@ gradient so that the expected tokens of each domain, the sums of posterior times
 tokens times rate, match their targets in the least-squares sense. A step
 changes a rate by an amount linear in the document's posteriors and cuts it at
 zero; so the rates are a short fold over the steps, every pass is one grouped
-sum, and only sums over domains come to the driver.
+sum in whole numbers, and only sums over domains come to the driver. Two runs over the
+same rows give the same rates to the last bit.
 
 Tokens are words between ASCII white space, one at least. Defined cases: a null
 text counts as empty; labels with nulls or contradictions are ignored; without
 labels of two domains all posteriors are the shares of the labels (equal without
 any); a domain that nothing belongs to cannot be met and gets what is least in
-squares; repeated rows get equal rates; a target that is not given is 0; other
+squares; very long texts count whole; an empty table gives an empty result; repeated rows get equal rates; a target that is not given is 0; other
 columns pass through, and a column named as an output is replaced.
 """
 
@@ -75,7 +76,7 @@ def _posterior(x: np.ndarray, hits: list[list[int]], model: Model) -> np.ndarray
     words = w[:, 1 + k :].T
     for row, at in enumerate(hits):
         if at:
-            score[row] += words[at].sum(0)
+            score[row] += words[sorted(at)].sum(0)  # in one order, so that every run gives the same bits
     score -= score.max(1, keepdims=True)
     p = np.exp(score)
     return p / p.sum(1, keepdims=True)
@@ -170,7 +171,7 @@ def posteriors(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         def of(values: list) -> list:
             got = [_form(v or "") for v in values]
             p = _posterior(np.array([f for f, _, _ in got]), [[words[w] for w in s.intersection(words)] for _, s, _ in got], model)
-            return [[max(n, 1) for _, _, n in got], p.tolist()]
+            return [[max(n, 1) for _, _, n in got], np.round(p, 9).tolist()]
 
         return of
 
@@ -192,7 +193,13 @@ def fit_rates(scored: DataFrame, targets: np.ndarray | None, settings: Settings
     """
     k = len(DOMAINS)
     p = [F.col("posterior")[i] for i in range(k)]
-    first = scored.agg(*[F.sum(p[i] * F.col("n_tokens")).alias(f"e{i}") for i in range(k)], *[F.sum(p[i] * p[j] * F.col("n_tokens")).alias(f"m{i}{j}") for i in range(k) for j in range(k)]).first()
+
+    def total(x: Column, name: str) -> Column:
+        """A sum in whole millionths, which doesn't depend on the order of the rows."""
+        return (F.sum((x * 1e6).cast("decimal(38,0)")).cast("double") / 1e6).alias(name)
+
+    tokens = F.col("n_tokens")
+    first = scored.agg(*[total(p[i] * tokens, f"e{i}") for i in range(k)], *[total(p[i] * p[j] * tokens, f"m{i}{j}") for i in range(k) for j in range(k)]).first()
     if first["e0"] is None:
         return []
     has = np.array([first[f"e{i}"] for i in range(k)])
@@ -207,7 +214,7 @@ def fit_rates(scored: DataFrame, targets: np.ndarray | None, settings: Settings
         if np.abs(gap).sum() <= settings.tolerance * max(targets.sum(), 1.0):
             break
         steps.append(inverse @ gap)
-        got = scored.withColumn("rate", _rate(steps)).agg(*[F.sum(p[i] * F.col("n_tokens") * F.col("rate")).alias(f"e{i}") for i in range(k)]).first()
+        got = scored.withColumn("rate", _rate(steps)).agg(*[total(p[i] * tokens * F.col("rate"), f"e{i}") for i in range(k)]).first()
         new = np.array([got[f"e{i}"] for i in range(k)])
         if np.abs(new - has).sum() <= settings.tolerance * max(has.sum(), 1.0):
             break

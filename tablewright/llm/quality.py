@@ -3,13 +3,15 @@
 Two views of a text are compressed: its bytes, and its shape (letters, capitals
 and digits collapsed to one sign each, so that punctuation and layout stand
 out). For each view there is a dictionary trained on good and one on bad
-labelled text. A whole text is cut into blocks, every block is compressed with
+labelled texts, whole ones of a bounded number of rows. A whole text is cut into blocks, every block is compressed with
 both, and the normalised difference of the summed sizes, with the compressed
 ratio, is turned into a probability by a logistic calibration.
 
 Defined cases: a null text counts as empty; an empty text has differences and
 ratios of 0 and gets the calibrated score of such a text; null keys pass
-through; repeated rows are scored alike; labels with null quality or null key
+through; an empty table gives an empty result, and without labels or documents to
+learn from the score is constant; very long texts are scored whole, block by block;
+repeated rows are scored alike; labels with null quality or null key
 are ignored, keys with contradicting labels too; columns of the table are kept
 and a column named as an output is replaced. If either class has too few rows
 to train dictionaries, the score is the share of good labels (0.5 without any).
@@ -38,7 +40,6 @@ class Settings:
 
     dictionary_rows: int = 400  #: labelled texts of each class, at most, for dictionaries
     calibration_rows: int = 1500  #: labelled texts of each class, at most, for the calibration
-    blocks_per_text: int = 4  #: blocks of a labelled text that go into dictionary training, spread over it
     block_bytes: int = 2000
     dictionary_bytes: int = 65536
     level: int = 3
@@ -124,27 +125,17 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key
     sample = spark.createDataFrame(rows, T.StructType([T.StructField("doc_id", one.schema["doc_id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("dictionary", T.BooleanType())]))
     # At most 2 * (dictionary_rows + calibration_rows) keys: a proven bound for the broadcast.
     texts = c.id_texts(docs, key, text).join(F.broadcast(sample), "doc_id")
-    block, most = settings.block_bytes, settings.blocks_per_text
-
-    def pieces():
-        def of(values: list) -> list:
-            out = []
-            for raw in (v.encode() for v in values):
-                parts = [raw[i : i + block] for i in range(0, len(raw), block)]
-                out.append(b"".join(parts[:: max(1, len(parts) // most)][:most]))
-            return [out]
-
-        return of
-
-    got = c.add_columns(texts.filter("dictionary").select("doc_id", "y", "text"), "text", [c.field("data", T.BinaryType())], pieces, drop=True).orderBy("doc_id", "data").collect()
+    block = settings.block_bytes
+    # ``dictionary_rows`` whole texts of each class at most.
+    got = texts.filter("dictionary").select("y", "text").orderBy("doc_id", "text").collect()
     dictionaries = []
     for view in (bytes, shape):
         for y in (1, 0):
-            samples = [p for r in got if r["y"] == y for d in [view(bytes(r["data"]))] for p in (d[i : i + block] for i in range(0, len(d), block)) if len(p) >= 8]
+            samples = [p for r in got if r["y"] == y for d in [view(r["text"].encode())] for p in (d[i : i + block] for i in range(0, len(d), block)) if len(p) >= 8]
             try:
                 dictionaries.append(zstandard.train_dictionary(settings.dictionary_bytes, samples).as_bytes())
             except zstandard.ZstdError:  # too little text to train on: the samples themselves
-                dictionaries.append(b"".join(samples)[: settings.dictionary_bytes] or b"        ")
+                dictionaries.append(b"".join(samples) or b"        ")
     compressors = tuple(dictionaries)
     level = settings.level
 

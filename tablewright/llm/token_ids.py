@@ -6,13 +6,14 @@ document (int64), then a fixed trailer. The index is split into buckets by a
 hash of the key. A bucket is a minimal perfect hash function over its keys
 (levels of bit arrays, each key settled at the first level where it is alone),
 and for each slot a 32-bit fingerprint of the key and the place: shard, row,
-first id, number of ids, number of rows with that key. A look-up reads one bucket, probes a
-constant expected number of bits, compares the fingerprint and gives the place;
+first id, number of ids, number of rows with that key. A look-up probes a
+constant expected number of words of bits, with the ranks stored beside them, reads the one entry, compares the
+fingerprint and gives the place; nothing else of the file is read, unless many keys of a bucket are asked for at once;
 a key that was not indexed is found only if its fingerprint agrees by chance
 (2**-32).
 
 Defined cases: a null text counts as empty and gives the end id alone; a null
-key is a key of its own and comes first; rows that repeat a key stand next to
+key is a key of its own and comes first; very long texts are encoded whole; rows that repeat a key stand next to
 each other, ordered by text, under one index entry; an empty table gives no
 shards and an empty result; other columns are ignored.
 """
@@ -80,54 +81,100 @@ def _mix(h: np.ndarray, level: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+#: 64 bits of a level, and the number of set bits before them in this and all earlier levels.
+WORD = np.dtype([("bits", "<u8"), ("rank", "<u4")])
+
+
 @dataclass
 class PerfectHash:
-    """Bit arrays by level; the slot of a key is the rank of its bit. Keys left over after the last level are listed."""
+    """Bit arrays by level; the slot of a key is the rank of its bit. Keys left over after the last level are listed.
+
+    Ranks are stored beside the bits, so a slot takes one word of each level that is probed, whatever the number of keys.
+    """
 
+    sizes: list[int]  #: bits of each level
     levels: list[np.ndarray]
     rest: np.ndarray
+    settled: int  #: keys before those of ``rest``
 
     @classmethod
     def build(cls, keys: np.ndarray, gamma: float = 2.0, most: int = 40) -> PerfectHash:
-        levels, left = [], np.unique(keys)
+        sizes, levels, left, rank = [], [], np.unique(keys), 0
         while len(left) and len(levels) < most:
             size = max(8, int(gamma * len(left)))
             at = (_mix(left, len(levels)) % np.uint64(size)).astype(np.int64)
-            bits = np.bincount(at, minlength=size) == 1
-            levels.append(bits)
+            bits = np.bincount(at, minlength=-(-size // 64) * 64) == 1
+            words = np.zeros(len(bits) // 64, WORD)
+            words["bits"] = np.packbits(bits, bitorder="little").view("<u8")
+            counts = bits.reshape(-1, 64).sum(1)
+            words["rank"] = rank + np.cumsum(counts) - counts
+            rank += int(counts.sum())
+            sizes.append(size)
+            levels.append(words)
             left = left[~bits[at]]
-        return cls(levels, np.sort(left))
+        return cls(sizes, levels, np.sort(left), rank)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
-        out, base = np.full(len(keys), -1, dtype=np.int64), 0
-        open_ = np.arange(len(keys))
-        for k, bits in enumerate(self.levels):
-            rank = np.cumsum(bits) - 1
-            at = (_mix(keys[open_], k) % np.uint64(len(bits))).astype(np.int64)
-            hit = bits[at]
-            out[open_[hit]] = base + rank[at[hit]]
-            base += int(bits.sum())
+        out, open_ = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys))
+        for k, (size, words) in enumerate(zip(self.sizes, self.levels, strict=True)):
+            at = _mix(keys[open_], k) % np.uint64(size)
+            word, bit = words[(at >> np.uint64(6)).astype(np.int64)], at & np.uint64(63)
+            hit = (word["bits"] >> bit & np.uint64(1)).astype(bool)
+            below = word["bits"] & ((np.uint64(1) << bit) - np.uint64(1))
+            out[open_[hit]] = (word["rank"] + np.bitwise_count(below))[hit]
             open_ = open_[~hit]
         if len(self.rest) and len(open_):
             at = np.minimum(np.searchsorted(self.rest, keys[open_]), len(self.rest) - 1)
             hit = self.rest[at] == keys[open_]
-            out[open_[hit]] = base + at[hit]
+            out[open_[hit]] = self.settled + at[hit]
         return out
 
     def dump(self) -> bytes:
-        head = np.array([len(self.levels), len(self.rest), *(len(b) for b in self.levels)], dtype="<i8")
-        return head.tobytes() + b"".join(np.packbits(b).tobytes() for b in self.levels) + self.rest.astype("<i8").tobytes()
+        head = np.array([len(self.sizes), len(self.rest), self.settled, *self.sizes], dtype="<i8")
+        return head.tobytes() + b"".join(w.tobytes() for w in self.levels) + self.rest.astype("<i8").tobytes()
 
     @classmethod
     def load(cls, data: bytes) -> tuple[PerfectHash, int]:
-        n, rest = np.frombuffer(data, "<i8", 2)
-        sizes = np.frombuffer(data, "<i8", int(n), 16)
-        at, levels = 16 + 8 * int(n), []
+        n, rest, settled = (int(x) for x in np.frombuffer(data, "<i8", 3))
+        sizes = np.frombuffer(data, "<i8", n, 24).tolist()
+        at, levels = 24 + 8 * n, []
         for s in sizes:
-            width = (int(s) + 7) // 8
-            levels.append(np.unpackbits(np.frombuffer(data, np.uint8, width, at), count=int(s)).astype(bool))
-            at += width
-        return cls(levels, np.frombuffer(data, "<i8", int(rest), at)), at + 8 * int(rest)
+            levels.append(np.frombuffer(data, WORD, -(-s // 64), at))
+            at += levels[-1].nbytes
+        return cls(sizes, levels, np.frombuffer(data, "<i8", rest, at), settled), at + 8 * rest
+
+
+#: Keys of one bucket beyond which a look-up reads its file at once.
+MANY_KEYS = 200
+
+
+def _entries(file, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key the entry at its slot, and whether it has one. A few keys cost a few reads of a few bytes each."""
+    if len(keys) > MANY_KEYS:
+        data = file.read()
+        function, at = PerfectHash.load(data)
+        slots = function.slots(keys)
+        return np.frombuffer(data, ENTRY, offset=at)[np.maximum(slots, 0)], slots >= 0
+    n, rest, settled = (int(x) for x in np.frombuffer(file.read_at(24, 0), "<i8"))
+    sizes = np.frombuffer(file.read_at(8 * n, 24), "<i8").tolist() if n else []
+    starts = (24 + 8 * n + np.cumsum([0, *(-(-s // 64) * WORD.itemsize for s in sizes)])).tolist()
+    out, found = np.zeros(len(keys), ENTRY), np.zeros(len(keys), bool)
+    left = np.frombuffer(file.read_at(8 * rest, starts[-1]), "<i8") if rest else np.empty(0, np.int64)  # 40 levels leave next to none
+    for i in range(len(keys)):
+        slot = -1
+        for k, size in enumerate(sizes):
+            at = int(_mix(keys[i : i + 1], k)[0] % np.uint64(size))
+            word = np.frombuffer(file.read_at(WORD.itemsize, starts[k] + at // 64 * WORD.itemsize), WORD)[0]
+            bits = int(word["bits"])
+            if bits >> at % 64 & 1:
+                slot = int(word["rank"]) + (bits & (1 << at % 64) - 1).bit_count()
+                break
+        if slot < 0 and (hit := np.flatnonzero(left == keys[i])).size:
+            slot = settled + int(hit[0])
+        if slot >= 0:
+            out[i] = np.frombuffer(file.read_at(ENTRY.itemsize, starts[-1] + 8 * rest + slot * ENTRY.itemsize), ENTRY)[0]
+            found[i] = True
+    return out, found
 
 
 # --- writing -----------------------------------------------------------------------------------
@@ -141,7 +188,7 @@ def write(docs: DataFrame, tokenizer: str, kind: str, end_id: int, key: str = "d
     """
     spark = docs.sparkSession
     path = path or c.new_path(spark, "token-ids")
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or _shards(docs, text)
     key_type = docs.schema[key].dataType
     rows = c.id_texts(docs, key, text).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").select(key_text(F.col("doc_id")).alias("key"), "text")
 
@@ -176,6 +223,16 @@ def write(docs: DataFrame, tokenizer: str, kind: str, end_id: int, key: str = "d
     return Store(path, manifest, key_type, starts, buckets)
 
 
+#: Characters of a shard, about.
+SHARD_CHARS = 64_000_000
+
+
+def _shards(docs: DataFrame, text: str) -> int:
+    """So many shards that each is of a bounded size (but for rows that share one key), and as many as there are shuffle partitions at least."""
+    chars = docs.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // SHARD_CHARS))
+
+
 def _index(manifest: DataFrame, path: str, buckets: int) -> None:
     # A key's rows are neighbours in one shard, so the entry with its first row covers them all.
     one = manifest.groupBy("key").agg(F.min("shard").alias("shard"), F.min("row").alias("row"), F.min("start").alias("start"), F.sum("length").alias("length"), F.count("*").alias("copies"))
@@ -207,13 +264,12 @@ def lookup(store: Store, keys: DataFrame, key: str = "doc_id") -> DataFrame:
     wanted = _hashes(keys.select(key_text(F.col(key)).alias("key")).distinct(), store.buckets)
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        with reading(f"{path}/index/{int(pdf['bucket'].iloc[0]):06d}.mph") as f:
-            data = f.read()
-        function, at = PerfectHash.load(data)
-        entries = np.frombuffer(data, ENTRY, offset=at)
-        slots = function.slots(pdf["h2"].to_numpy())
-        found = entries[np.maximum(slots, 0)]
-        ok = (slots >= 0) & (found["fingerprint"] == _fingerprint(pdf))
+        try:
+            with reading(f"{path}/index/{int(pdf['bucket'].iloc[0]):06d}.mph") as f:
+                found, ok = _entries(f, pdf["h2"].to_numpy())
+        except FileNotFoundError:  # a bucket without keys has no file
+            found, ok = np.zeros(len(pdf), ENTRY), np.zeros(len(pdf), bool)
+        ok = ok & (found["fingerprint"] == _fingerprint(pdf))
         found = found[ok]
         return pd.DataFrame({"key": pdf["key"][ok].to_numpy()} | {n: found[n].astype(np.int64) for n in ("shard", "row", "start", "length", "copies")})
 
