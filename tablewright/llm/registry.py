@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_join, jaccard_join, language_model, line_dedup, mixing, outliers, packing, quality, secrets, token_ids
+from . import embedding_join, jaccard_join, language_model, line_dedup, mixing, outliers, packing, quality, secrets, token_ids, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_model": language_model.query,
         "op9_outliers": outliers.query,
         "op10_jaccard_join": jaccard_join.query,
+        "op12_url_filter": url_filter.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": secrets.sql()}
+    return {"op1_secrets": secrets.sql(), "op12_url_filter": url_filter.sql()}
