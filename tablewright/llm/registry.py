@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_join, jaccard_join, language_model, line_dedup, mixing, outliers, packing, prefix_trie, quality, secrets, token_ids, url_filter
+from . import embedding_join, jaccard_join, language_model, line_dedup, mixing, outliers, packing, phrases, prefix_trie, quality, secrets, token_ids, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard_join": jaccard_join.query,
         "op11_prefix_trie": prefix_trie.query,
         "op12_url_filter": url_filter.query,
+        "op13_phrases": phrases.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": secrets.sql(), "op11_prefix_trie": prefix_trie.sql(), "op12_url_filter": url_filter.sql()}
+    return {"op1_secrets": secrets.sql(), "op11_prefix_trie": prefix_trie.sql(), "op12_url_filter": url_filter.sql(), "op13_phrases": phrases.sql()}

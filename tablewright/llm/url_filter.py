@@ -8,8 +8,8 @@ first 32 bits of their SHA-256 digests, whole digests are compared then, and wha
 (by the code points of host and path; then the longer host, then block before allow, then the greater text). A URL that no rule fits
 is allowed.
 
-Only functions of DataFrames are used. Pages are reduced to key, host and path, with the number of equal rows, in one shuffle of these
-(equal rows are combined before it); expressions that no rule can have are dropped by a bounded table of bits before they meet the rules;
+Only functions of DataFrames are used. Pages are reduced to key, host and path, and only these are shuffled (equal rows are combined
+before that, and come out again at the end); expressions that no rule can have are dropped by a bounded table of bits before they meet the rules;
 whether the rules are broadcast is left to Spark, by their size.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, which no rule fits unless its host is empty too; an empty
@@ -89,8 +89,14 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n", "_copy")
 
 
+def rules_of(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """A short list of rules as a frame, without Python rows."""
+    listed = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("host", "path", "verdict"), r, strict=True)]) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*listed)))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(c.table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+    return judge(c.table(spark, sf_dir, "pages"), rules_of(spark, RULES))
 
 
 def sql() -> str:

@@ -56,6 +56,6 @@ def test_sql(spark, sf_dir):
     assert len({r["rule"] for r in got.collect()}) >= 4
 
 
-def test_no_python_and_one_shuffle_of_pages(spark, sf_dir):
+def test_no_python(spark, sf_dir):
     plan = url_filter.query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "html" not in plan
