@@ -10,44 +10,51 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import MaxAbsScaler, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import Metric, evaluate, rrse
+from .boosting import BoostedTrees
 from .dataset import fold_of
-from .features import FeatureSpec, TargetEncoder, TargetEncoding, imputed, scales
+from .features import FeatureSpec, TargetEncoder, imputed, scales
+from .learners import FittedLearner
 
 #: Of each tree of a forest. Deeper trees, up to Spark's 30, can be asked for by a factory of one's own.
 FOREST_DEPTH = 8
+#: Trees of the boosted models below; a factory of one's own can have more.
+ROUNDS = 20
+#: The parameters that a search over boosted trees has found best.
+TUNED = {"colsample": 0.9869550725977663, "gamma": 8.022497033174522, "maxDepth": 10, "minChildWeight": 48.0, "regLambda": 0.3984639652186364}
 #: Estimators by name: factories, so that each use is unfitted.
 CLASSIFIERS: dict[str, Callable] = {
     "logistic_regression": lambda rows: LogisticRegression(maxIter=1000, regParam=1.0 / max(rows, 1), standardization=False, labelCol="target"),
     "random_forest": lambda rows: RandomForestClassifier(numTrees=100, maxDepth=FOREST_DEPTH, seed=42, labelCol="target"),
     "decision_tree": lambda rows: DecisionTreeClassifier(maxDepth=2, seed=42, labelCol="target"),
-    "gradient_boosting": lambda rows: GBTClassifier(maxIter=20, seed=42, labelCol="target"),
+    "gradient_boosting": lambda rows: BoostedTrees(objective="logistic", rounds=ROUNDS, labelCol="target"),
 }
 REGRESSORS: dict[str, Callable] = {
     "linear_regression": lambda rows: LinearRegression(solver="normal", regParam=1e-6, labelCol="target"),
     "random_forest": lambda rows: RandomForestRegressor(numTrees=100, maxDepth=FOREST_DEPTH, seed=42, labelCol="target"),
     "decision_tree": lambda rows: DecisionTreeRegressor(maxDepth=2, seed=42, labelCol="target"),
-    "gradient_boosting": lambda rows: GBTRegressor(maxIter=20, seed=42, labelCol="target"),
-    "gradient_boosting_tuned": lambda rows: GBTRegressor(maxIter=20, maxDepth=10, minInstancesPerNode=48, seed=42, labelCol="target"),
+    "gradient_boosting": lambda rows: BoostedTrees(rounds=ROUNDS, labelCol="target"),
+    "gradient_boosting_tuned": lambda rows: BoostedTrees(rounds=ROUNDS, labelCol="target", **TUNED),
 }
 
 
-def pipeline(estimator, numeric: list[str], categorical: list[str], max_abs: bool = False, scaling: dict[str, tuple[float, float]] | None = None) -> Pipeline:
+def pipeline(estimator, numeric: list[str], categorical: list[str], max_abs: bool = False, scaling: dict[str, tuple[float, float]] | None = None, missing: bool = False) -> Pipeline:
     """Scaled numbers and categories, one column a value (unknown ones: zeros), all into one vector, then the estimator.
 
-    ``scaling`` has (center, scale) of columns as fitted on the training rows, see ``features.scales``.
+    ``scaling`` has (center, scale) of columns as fitted on the training rows, see ``features.scales``. With ``missing``, nulls
+    reach the estimator as NaN; else they are an error.
     """
     scaling = scaling or {}
     stages = [SQLTransformer(statement="SELECT *, " + ", ".join(f"(`{n}` - {c!r}D) / {s!r}D AS `{n}_scaled`" for n, (c, s) in scaling.items()) + " FROM __THIS__")] if scaling else []
     if categorical:
         stages += [StringIndexer(inputCols=categorical, outputCols=[f"{n}_index" for n in categorical], stringOrderType="alphabetAsc", handleInvalid="keep"), OneHotEncoder(inputCols=[f"{n}_index" for n in categorical], outputCols=[f"{n}_hot" for n in categorical], dropLast=True)]
-    stages.append(VectorAssembler(inputCols=[*[f"{n}_scaled" if n in scaling else n for n in numeric], *[f"{n}_hot" for n in categorical]], outputCol="raw" if max_abs else "features"))
+    stages.append(VectorAssembler(inputCols=[*[f"{n}_scaled" if n in scaling else n for n in numeric], *[f"{n}_hot" for n in categorical]], outputCol="raw" if max_abs else "features", handleInvalid="keep" if missing else "error"))
     if max_abs:
         stages.append(MaxAbsScaler(inputCol="raw", outputCol="features"))
     return Pipeline(stages=[*stages, estimator])
@@ -57,7 +64,8 @@ def pipeline(estimator, numeric: list[str], categorical: list[str], max_abs: boo
 class Learner:
     """A model by its parts: feature units, optional target encoders, and a factory of the estimator by the number of training rows.
 
-    Scales, categories, encodings and the means for missing encodings are all fitted on the training rows.
+    Scales, categories, encodings and the means for missing encodings are all fitted on the training rows. With ``missing`` the estimator takes
+    missing values itself, so that nothing is filled in.
     """
 
     name: str
@@ -65,6 +73,7 @@ class Learner:
     features: tuple[FeatureSpec, ...]
     encoders: tuple[TargetEncoder, ...] = ()
     max_abs: bool = False
+    missing: bool = False
 
     def fit(self, train: DataFrame) -> FittedLearner:
         encodings = [e.fit(train) for e in self.encoders]
@@ -72,29 +81,17 @@ class Learner:
         for e in encodings:
             rows = e.transform_train(rows)
         names = [e.name for e in self.encoders]
-        means = {n: m if m is not None else 0.0 for n, m in rows.agg(*[F.avg(n).alias(n) for n in names]).first().asDict().items()} if names else {}
-        rows = imputed(rows, means)
-        numeric = [n for f in self.features if not f.categorical for n in f.columns] + [x for n in names for x in (n, f"{n}_missing")]
-        rules = {n: f.rule for f in self.features if not f.categorical and f.rule != "skip" for n in f.columns} | dict.fromkeys(names, "maxabs")
+        means = {}
+        if names and not self.missing:
+            means = {n: m if m is not None else 0.0 for n, m in rows.agg(*[F.avg(n).alias(n) for n in names]).first().asDict().items()}
+            rows = imputed(rows, means)
+        numeric = [n for f in self.features if not f.categorical for n in f.columns] + [x for n in names for x in ((n,) if self.missing else (n, f"{n}_missing"))]
+        rules = {n: f.rule for f in self.features if not f.categorical and f.rule != "skip" for n in f.columns} | ({} if self.missing else dict.fromkeys(names, "maxabs"))
         categorical = [n for f in self.features if f.categorical for n in f.columns]
-        fitted = pipeline(self.estimator(rows.count()), numeric, categorical, self.max_abs, scales(rows, rules) if rules else None).fit(rows)
+        fitted = pipeline(self.estimator(rows.count()), numeric, categorical, self.max_abs, scales(rows, rules) if rules else None, self.missing).fit(rows)
         return FittedLearner(self.name, fitted, encodings, means)
 
 
-@dataclass(frozen=True)
-class FittedLearner:
-    name: str
-    model: PipelineModel
-    encodings: list[TargetEncoding]
-    means: dict[str, float]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Add ``prediction`` to rows that were not in the training."""
-        for e in self.encodings:
-            df = e.transform(df)
-        return self.model.transform(imputed(df, self.means))
-
-
 @dataclass(frozen=True)
 class NearestNeighbour:
     """1-NN as a model: the target of the nearest training row, by columns scaled as fitted on the training rows."""
