@@ -51,7 +51,8 @@ def rel_freq_within(e: float) -> Metric:
 
 
 def accuracy() -> Metric:
-    return Metric("accuracy", True, lambda y, p: F.avg((y == p).cast("int")))
+    """The share of rows whose prediction is their truth; a prediction that is missing is wrong, and a row without truth counts if it has none either."""
+    return Metric("accuracy", True, lambda y, p: F.avg(y.eqNullSafe(p).cast("int")))
 
 
 def precision(positive) -> Metric:
@@ -88,13 +89,15 @@ def confusion_matrix(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     counts = df.groupBy(F.col(truth).alias("truth"), F.col(prediction).alias("prediction")).agg(F.count("*").alias("n"))
     labels = counts.select(F.explode(F.array("truth", "prediction")).alias("label")).distinct()
     pairs = labels.select(F.col("label").alias("truth")).crossJoin(labels.select(F.col("label").alias("prediction")))  # labels of the target: few
-    return pairs.join(counts, ["truth", "prediction"], "left").select("truth", "prediction", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    known = counts.select(F.col("truth").alias("t"), F.col("prediction").alias("p"), "n")
+    same = F.col("truth").eqNullSafe(F.col("t")) & F.col("prediction").eqNullSafe(F.col("p"))  # a missing one is a label too
+    return pairs.join(known, same, "left").select("truth", "prediction", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def classification_report(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     """label, precision, recall, f1, support by label, and rows for accuracy, macro and weighted averages; 0/0 is 0."""
     m = confusion_matrix(df, truth, prediction)
-    sides = m.select(F.explode(F.array(F.struct(F.col("truth").alias("label"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("h")), F.struct(F.col("prediction").alias("label"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"), F.when(F.col("truth") == F.col("prediction"), F.col("n")).otherwise(F.lit(0)).alias("h")))).alias("s")).select("s.*")
+    sides = m.select(F.explode(F.array(F.struct(F.col("truth").alias("label"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("h")), F.struct(F.col("prediction").alias("label"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"), F.when(F.col("truth").eqNullSafe(F.col("prediction")), F.col("n")).otherwise(F.lit(0)).alias("h")))).alias("s")).select("s.*")
     by = sides.groupBy("label").agg(F.sum("h").alias("h"), F.sum("t").alias("support"), F.sum("p").alias("p"))
     one = by.select(F.col("label").cast("string").alias("label"), _ratio(F.col("h"), F.col("p")).alias("precision"), _ratio(F.col("h"), F.col("support")).alias("recall"), _ratio(2 * F.col("h"), F.col("p") + F.col("support")).alias("f1"), "support", "h")
     cols = ("precision", "recall", "f1")

@@ -6,8 +6,11 @@ import math
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .ranks import value_at
 
 
 def hash_of(key: str, seed: int) -> Column:
@@ -15,46 +18,27 @@ def hash_of(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("\x00"))))
 
 
-def _reach(rows: DataFrame, column: str, n: int):
-    """The value of the n-th row by the column, how many rows of that value belong to the first n, and how many there are."""
-    last = rows.select(column).orderBy(column).limit(n).orderBy(F.desc(column)).limit(1).first()[0]
-    seen = rows.agg(F.count_if(F.col(column) < F.lit(last)).alias("less"), F.count_if(F.col(column) == F.lit(last)).alias("same")).first()
-    return last, n - seen["less"], seen["same"]
-
-
 def first_by_hash(df: DataFrame, key: str, n: int, seed: int, flag: str) -> DataFrame:
-    """Flag exactly n rows (all, if there are fewer): those with the least seeded hashes, without a global sort.
+    """Flag exactly n rows (all, if there are fewer): those with the least seeded hashes, without a sort.
 
-    Counts by the hash's first four digits (65,536 at most) tell in which of
-    these ranges the n-th row lies; only that range is ranked. Rows that share
-    the key at the edge are told apart by a hash of the whole row, and rows that
-    are equal in all columns, which may be flagged in any order, by their number.
+    The n-th hash is found by counting (``ranks``). Rows that share the key at the edge are told apart by a hash of the whole row; of rows that are
+    equal in all columns, it does not matter which are flagged, so they are made anew from one of them, however many they are.
     """
-    names = df.columns
-    marked = df.withColumns({"_h": hash_of(key, seed), "_r": F.xxhash64(*[F.struct(F.col(f"`{c}`")) for c in names])})
     if n <= 0:
         return df.withColumn(flag, F.lit(False))
-    part = F.substring("_h", 1, 4)
-    total, edge, rest = 0, None, 0
-    for r in marked.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
-        if total + r["n"] >= n:
-            edge, rest = r["part"], n - total
-            break
-        total += r["n"]
-    if edge is None:
+    marked = df.withColumns({"_h": hash_of(key, seed), "_r": F.xxhash64(*[F.struct(F.col(f"`{c}`")) for c in df.columns])})
+    size = df.count()
+    if n >= size:
         return df.withColumn(flag, F.lit(True))
-    inside = marked.filter(part == edge)
-    h, take, same = _reach(inside, "_h", rest)
-    below = F.col("_h") < h
-    if take == same:
-        return marked.withColumn(flag, below | (F.col("_h") == h)).drop("_h", "_r")
-    r, more, equal = _reach(inside.filter(F.col("_h") == h), "_r", take)
-    tie = (F.col("_h") == h) & (F.col("_r") == r)
-    out = marked.withColumn(flag, below | ((F.col("_h") == h) & (F.col("_r") <= r)))
-    if more < equal:
-        number = F.row_number().over(Window.partitionBy("_r").orderBy(F.monotonically_increasing_id()))
-        out = out.filter(~tie).unionByName(out.filter(tie).withColumn(flag, number <= more))
-    return out.drop("_h", "_r")
+    found = value_at(marked, ["_h", "_r"], n, size)
+    h, r = F.lit(found.value["_h"]), F.lit(found.value["_r"]).cast("long")
+    below, tie = (F.col("_h") < h) | ((F.col("_h") == h) & (F.col("_r") < r)), (F.col("_h") == h) & (F.col("_r") == r)
+    take = n - found.before
+    if take == found.same:
+        return marked.withColumn(flag, below | tie).drop("_h", "_r")
+    one = marked.filter(tie).select(*df.columns).limit(1)
+    equal = df.sparkSession.range(found.same).crossJoin(F.broadcast(one)).withColumn(flag, F.col("id") < take).drop("id")  # one row, as often as it was there
+    return marked.filter(~tie).withColumn(flag, below).drop("_h", "_r").unionByName(equal)
 
 
 def sample_exact(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -69,13 +53,16 @@ def split_train_test(df: DataFrame, key: str, fraction: str = "0.3", seed: int =
 
 def split_by_time(df: DataFrame, time: str, key: str, fraction: str = "0.3") -> DataFrame:
     """Add is_test: the latest rows, the fraction of them rounded up; ties in time go by the key. Null times are training rows."""
-    at = F.struct(F.col(time).alias("t"), F.col(key).alias("k"))
     timed = df.filter(F.col(time).isNotNull())
-    n = math.ceil(Decimal(fraction) * timed.count())
+    size = timed.count()
+    n = math.ceil(Decimal(fraction) * size)
     if n == 0:
         return df.withColumn("is_test", F.lit(False))
-    edge = timed.select(at.alias("at")).orderBy(F.desc("at")).limit(n).agg(F.min("at").alias("edge"))  # one row
-    return df.crossJoin(F.broadcast(edge)).withColumn("is_test", F.coalesce(at >= F.col("edge"), F.lit(False)) & F.col(time).isNotNull()).drop("edge")
+    found = value_at(timed, [F.col(time).alias("t"), F.col(key).alias("k")], size - n + 1, size)
+    kinds = T.StructType([T.StructField("edge", timed.select(F.struct(F.col(time).alias("t"), F.col(key).alias("k")).alias("x")).schema["x"].dataType)])
+    edge = df.sparkSession.createDataFrame([(found.value,)], kinds)  # one row
+    late = F.struct(F.col(time).alias("t"), F.col(key).alias("k")) >= F.col("edge")
+    return df.crossJoin(F.broadcast(edge)).withColumn("is_test", F.coalesce(late, F.lit(False)) & F.col(time).isNotNull()).drop("edge")
 
 
 def fold_of(key: str, k: int, seed: int = 42) -> Column:

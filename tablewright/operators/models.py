@@ -7,8 +7,6 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import MaxAbsScaler, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -21,6 +19,7 @@ from .boosting import BoostedTrees
 from .dataset import fold_of
 from .features import FeatureSpec, TargetEncoder, imputed, scales
 from .learners import FittedLearner
+from .neighbours import nearest_neighbour
 
 #: Of each tree of a forest. Deeper trees, up to Spark's 30, can be asked for by a factory of one's own.
 FOREST_DEPTH = 8
@@ -112,11 +111,11 @@ class FittedNeighbour:
     scaling: dict[str, tuple[float, float]]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add ``prediction``: a stated query set against all training rows, in blocks. The key is unique and never null."""
+        """Add ``prediction``, which is null for rows that are near nothing. The key is unique."""
         key, columns = self.learner.key, list(self.learner.columns)
         queries, known = (x.withColumns({n: (F.col(n) - c) / s for n, (c, s) in self.scaling.items()}) for x in (df, self.train))
         near = nearest_neighbour(queries, known, key, columns, "target", itself=True)
-        return df.join(near.select(F.col("query_key").alias(key), F.col("neighbour_target").alias("prediction")), key)
+        return df.join(near.select(F.col("query_key").alias(key), F.col("neighbour_target").alias("prediction")), key, "left")
 
 
 def regressor_as_classifier(prediction: str, threshold: float, positive: str, negative: str) -> list[Column]:
@@ -125,48 +124,6 @@ def regressor_as_classifier(prediction: str, threshold: float, positive: str, ne
     return [F.when(hit, positive).otherwise(negative).alias("predicted_class"), F.when(hit, 1.0).otherwise(0.0).alias(f"p_{positive}"), F.when(hit, 0.0).otherwise(1.0).alias(f"p_{negative}")]
 
 
-#: Rows of a block of queries, and of training rows, that are compared at once.
-BLOCK_ROWS = 2000
-
-
-def nearest_neighbour(queries: DataFrame, train: DataFrame, key: str, columns: list[str], target: str, itself: bool = False) -> DataFrame:
-    """Exact 1-NN by Euclidean distance, ties to the least key: a stated query set against all rows.
-
-    Both sides are cut into blocks; each pair of blocks gives the nearest training row of every query there, and
-    the minimum over blocks follows. Rows with a null in a column are near nothing. Without ``itself`` a row with
-    the query's key is no neighbour of it.
-    """
-    kind, value = train.schema[key].dataType.simpleString(), train.schema[target].dataType.simpleString()
-    point = F.array(*[F.col(n).cast("double") for n in columns]).alias("x")
-    some = lambda df: df.dropna(subset=[key, *columns])
-
-    def blocks(df: DataFrame, *more) -> DataFrame:
-        rows = some(df).select(F.col(key).alias("k"), point, *more).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(max(1, -(-some(df).count() // BLOCK_ROWS)))))
-        return rows.groupBy("b").agg(F.collect_list(F.struct(*[n for n in rows.columns if n != "b"])).alias("rows")).select("rows")
-
-    q, t = blocks(queries).withColumnRenamed("rows", "q"), blocks(train, F.col(target).alias("y")).withColumnRenamed("rows", "t")
-
-    def nearest(batches):
-        for pdf in batches:
-            for left, right in zip(pdf["q"], pdf["t"], strict=True):
-                right = sorted(right, key=lambda r: r["k"])
-                keys = np.array([r["k"] for r in right])
-                d2 = np.zeros((len(left), len(right)))
-                for n in range(len(columns)):
-                    gap = np.array([r["x"][n] for r in left])[:, None] - np.array([r["x"][n] for r in right])[None, :]
-                    d2 += gap * gap
-                if not itself:
-                    d2[np.array([r["k"] for r in left])[:, None] == keys[None, :]] = np.inf
-                at = d2.argmin(1)
-                ok = np.flatnonzero(np.isfinite(d2[np.arange(len(left)), at]))
-                yield pd.DataFrame({"query_key": [left[i]["k"] for i in ok], "d2": d2[ok, at[ok]], "neighbour_key": [right[at[i]]["k"] for i in ok], "neighbour_target": [right[at[i]]["y"] for i in ok]})
-
-    pairs = q.crossJoin(t).repartition(max(1, train.sparkSession.sparkContext.defaultParallelism))  # one row a pair of blocks
-    found = pairs.mapInPandas(nearest, f"query_key {kind}, d2 double, neighbour_key {kind}, neighbour_target {value}")
-    near = found.groupBy("query_key").agg(F.min(F.struct("d2", "neighbour_key", "neighbour_target")).alias("x"))
-    return near.select("query_key", F.col("x.neighbour_key").alias("neighbour_key"), F.col("x.neighbour_target").alias("neighbour_target"))
-
-
 def per_group(df: DataFrame, group: str, x: str, y: str, minimum: int = 2) -> DataFrame:
     """One least-squares line for each group, all in one aggregation: the group, n, slope, intercept. Groups with fewer rows have none."""
     return df.groupBy(group).agg(F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias("n"), F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept")).filter(F.col("n") >= minimum)

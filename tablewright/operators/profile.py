@@ -2,38 +2,38 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import values_at
+
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, mean, std (sample), min, quartiles (exact, interpolated), max."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")).select("v.*")
-    # Ranks come from counts by value: each value is one row, however often it occurs, and no task holds all values of a column.
-    counts = long.filter("x is not null").groupBy("column", "x").agg(F.count("*").alias("n"))
+    known = long.filter("x is not null")
     stats = long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("low"), F.max("x").alias("high"))
-    return stats.join(quantiles(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75}), "column", "left").select("column", "n", "mean", "std", "low", "q1", "median", "q3", "high")
-
-
-#: Ranges of a column's values that are counted before ranks are sought inside those that hold them.
-RANGES = 4096
-
-
-def quantiles(counts: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """column and its exact, interpolated quantiles from (column, x, n): only the ranges that hold a wanted rank are sorted."""
-    ends = counts.groupBy("column").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("all"))
-    ranged = counts.join(F.broadcast(ends), "column").withColumn("range", F.coalesce(F.least(F.floor((F.col("x") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * RANGES), F.lit(RANGES - 1)), F.lit(0)))
-    sizes = ranged.groupBy("column", "range", "all").agg(F.sum("n").alias("m"))  # RANGES rows a column at most
-    before = sizes.withColumn("before", F.sum("m").over(Window.partitionBy("column").orderBy("range")) - F.col("m"))
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("all") - 1)).alias("rank")) for name, q in shares.items()])
-    places = before.withColumn("w", F.explode(wanted)).select("column", "range", "before", "m", "w.*").withColumn("end", F.explode(F.array(F.floor("rank"), F.ceil("rank")))).filter("before <= end and end < before + m")
-    inside = ranged.join(F.broadcast(places.select("column", "range", "before").distinct()), ["column", "range"])
-    placed = inside.withColumn("first", F.col("before") + F.sum("n").over(Window.partitionBy("column", "range").orderBy("x")) - F.col("n"))
-    found = placed.join(F.broadcast(places.select("column", "range", "name", "rank", "end").distinct()), ["column", "range"]).filter("first <= end and end < first + n")
-    each = found.groupBy("column", "name", "rank").agg(F.min("x").alias("a"), F.max("x").alias("b")).withColumn("v", F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank")))
-    return each.groupBy("column").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])
+    return stats.join(F.broadcast(quantiles(known, {"q1": 0.25, "median": 0.5, "q3": 0.75})), "column", "left").select("column", "n", "mean", "std", "low", "q1", "median", "q3", "high")
+
+
+def quantiles(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """column and its exact, interpolated quantiles from rows (column, x), x never null; the values at their ranks are found by counting, see ``ranks``."""
+    sizes = {r["column"]: r["n"] for r in rows.groupBy("column").agg(F.count("*").alias("n")).collect()}  # one row a column
+    ends = {(c, q): (math.floor(q * (n - 1)), math.ceil(q * (n - 1)), q * (n - 1)) for c, n in sizes.items() for q in shares.values()}
+    wanted = {c: [rank + 1 for q in shares.values() for rank in ends[c, q][:2]] for c in sizes}
+    found = values_at(rows.select(F.col("column").alias("g"), "x"), wanted, sizes)
+    out = []
+    for c in sizes:
+        values = []
+        for q in shares.values():
+            low, high, at = ends[c, q]
+            a, b = found[c, low + 1].value, found[c, high + 1].value
+            values.append(a if a == b else a + (b - a) * (at - low))
+        out.append((c, *values))
+    return rows.sparkSession.createDataFrame(out, "column string, " + ", ".join(f"{n} double" for n in shares))
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -55,10 +55,12 @@ def strong_pairs(pairs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
-    """bin, n of equal-width bins between the extremes; the last is closed. Empty bins are left out."""
-    edges = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))  # one row
-    at = F.least(F.floor((F.col(column) - F.col("lo")) / F.nullif((F.col("hi") - F.col("lo")) / bins, F.lit(0.0))), F.lit(bins - 1))
-    return df.select(column).crossJoin(F.broadcast(edges)).groupBy(F.coalesce(at, F.lit(0)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    """bin, n of equal-width bins between the extremes; the last is closed. Empty bins are left out, a constant column has bin 0 only, nulls and NaN have none."""
+    x = F.col(column).cast("double")
+    values = df.select(x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    edges = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))  # one row
+    at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1))).otherwise(F.lit(0))
+    return values.crossJoin(F.broadcast(edges)).groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
