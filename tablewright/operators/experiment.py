@@ -37,10 +37,12 @@ def run_id(now: datetime | None = None) -> str:
 
 
 def evaluate_learners(df: DataFrame, key: str, learners: list[Learner | NearestNeighbour], params: EvaluationParams = EvaluationParams(), sink: tuple[str, str] | None = None) -> DataFrame:
-    """One row a learner, best first: all fitted on one split and scored on its test rows. ``sink``: (path, experiment) to append the rows to."""
-    rows = split_train_test(df, key, params.test_fraction, params.seed).persist()
+    """One row a learner, best first: all fitted on one split and scored on its test rows. ``sink``: (path, experiment) to append the rows to.
+
+    A learner that fails is a row with its error."""
+    rows = split_train_test(df, key, params.test_fraction, params.seed)
     fits = {x.name: (lambda train, x=x: x.fit(train).transform) for x in learners}
-    out = compare(fits, rows.filter("not is_test"), rows.filter("is_test"), params.metrics, "target")
+    out = compare(fits, rows.filter("not is_test"), rows.filter("is_test"), params.metrics, "target", errors=True)
     if sink:
         append_results(out, *sink, run_id())
     return out

@@ -20,6 +20,7 @@ from .dataset import fold_of
 from .features import FeatureSpec, TargetEncoder, imputed, scales
 from .learners import FittedLearner
 from .neighbours import nearest_neighbour
+from .side_by_side import SideBySide, kept
 
 #: Of each tree of a forest. Deeper trees, up to Spark's 30, can be asked for by a factory of one's own.
 FOREST_DEPTH = 8
@@ -137,27 +138,34 @@ def train_models(df: DataFrame, group: str, make: Callable[[], Learner], values:
     return {v: make().fit(df.filter(F.col(group).eqNullSafe(F.lit(v)))) for v in values}
 
 
-def compare(models: dict[str, Callable[[DataFrame], Callable[[DataFrame], DataFrame]]], train: DataFrame, test: DataFrame, metrics: tuple[Metric, ...], truth: str, prediction: str = "prediction") -> DataFrame:
-    """One row a model: fit on train, predict test, all metrics; best first by the first metric."""
-    out, train, test = None, train.persist(), test.persist()
-    for name, fit in models.items():
-        row = evaluate(fit(train)(test), metrics, truth, prediction).select(F.lit(name).alias("model"), "*")
-        out = row if out is None else out.unionByName(row)
-    return leaderboard(out, metrics[0])
+def compare(models: dict[str, Callable[[DataFrame], Callable[[DataFrame], DataFrame]]], train: DataFrame, test: DataFrame, metrics: tuple[Metric, ...], truth: str, prediction: str = "prediction", errors: bool = False) -> DataFrame:
+    """One row a model: fit on train, predict test, all metrics; best first by the first metric.
+
+    Models are fitted side by side on data that is kept meanwhile. With ``errors`` a model that fails is a row with its error and no metrics; else
+    it is an error, once the others are through.
+    """
+    spark = train.sparkSession
+    with kept(train, test) as (known, asked):
+        done = SideBySide(spark)({name: (lambda fit=fit: tuple(evaluate(fit(known)(asked), metrics, truth, prediction).first())) for name, fit in models.items()})
+    if not errors and (failed := [x for x in done if x.error]):
+        raise RuntimeError(f"{failed[0].name}: {failed[0].error}")
+    rows = [(x.name, *([None] * len(metrics) if x.error else [None if v is None else float(v) for v in x.value]), *([x.error] if errors else [])) for x in done]
+    return leaderboard(spark.createDataFrame(rows, ", ".join(["model string", *[f"`{m.name}` double" for m in metrics], *["error string"] * errors])), metrics[0])
 
 
 def leaderboard(results: DataFrame, metric: Metric) -> DataFrame:
-    best = F.desc(metric.name) if metric.larger_is_better else F.asc(metric.name)
+    best = F.desc_nulls_last(metric.name) if metric.larger_is_better else F.asc_nulls_last(metric.name)
     return results.orderBy(best, "model")
 
 
 def cross_validate(df: DataFrame, key: str, k: int, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], metrics: tuple[Metric, ...], truth: str, prediction: str = "prediction") -> DataFrame:
     """Mean and standard deviation (of the population) of each metric over k folds; encoders are fitted anew in each."""
-    folded = df.withColumn("fold", fold_of(key, k))
-    rows = None
-    for i in range(k):
-        row = evaluate(fit(folded.filter(F.col("fold") != i))(folded.filter(F.col("fold") == i)), metrics, truth, prediction)
-        rows = row if rows is None else rows.unionByName(row)
+    with kept(df.withColumn("fold", fold_of(key, k))) as (folded,):
+        one = lambda i: tuple(evaluate(fit(folded.filter(F.col("fold") != i))(folded.filter(F.col("fold") == i)), metrics, truth, prediction).first())
+        done = SideBySide(df.sparkSession)({str(i): (lambda i=i: one(i)) for i in range(k)})
+    if failed := [x for x in done if x.error]:
+        raise RuntimeError(f"fold {failed[0].name}: {failed[0].error}")
+    rows = df.sparkSession.createDataFrame([tuple(None if v is None else float(v) for v in x.value) for x in done], ", ".join(f"`{m.name}` double" for m in metrics))
     return rows.agg(*[f(m.name).alias(f"{n}[{m.name}]") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
