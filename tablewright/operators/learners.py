@@ -121,6 +121,28 @@ class ClassifierFromRegressor(Model, _Stored):
         return cls(DefaultParamsReader.loadParamsInstance(f"{path}/regressor", spark))
 
 
+class NumbersFromClasses(Model, _Stored):
+    """A classifier whose classes are numbers: its ``prediction``, a place among them, becomes the number."""
+
+    def __init__(self, classifier: Model, values: list[float]):
+        super().__init__()
+        self.classifier, self.values = classifier, list(values)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        place = (F.col("prediction") + 1).cast("int")
+        return self.classifier.transform(dataset).withColumn("prediction", F.element_at(F.array(*map(F.lit, self.values)), place))
+
+    def _extra(self) -> dict:
+        return {"values": self.values}
+
+    def _save_parts(self, path: str) -> None:
+        self.classifier.write().overwrite().save(f"{path}/classifier")
+
+    @classmethod
+    def _load_parts(cls, spark: SparkSession, path: str, metadata: dict) -> NumbersFromClasses:
+        return cls(DefaultParamsReader.loadParamsInstance(f"{path}/classifier", spark), metadata["values"])
+
+
 def save_best(model: Model, folder: str, dataset: Dataset) -> str:
     """Keep a regressor as the best of its dataset, in place of an earlier one; folders are made. Returns the path."""
     path = model_path(folder, dataset.tag, BEST)

@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import MaxAbsScaler, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
@@ -18,7 +18,7 @@ from ..functions.metrics import Metric, evaluate, rrse
 from .boosting import BoostedTrees
 from .dataset import fold_of
 from .features import FeatureSpec, TargetEncoder, imputed, scales
-from .learners import FittedLearner
+from .learners import FittedLearner, NumbersFromClasses
 from .neighbours import nearest_neighbour
 from .side_by_side import SideBySide, kept
 
@@ -44,6 +44,28 @@ REGRESSORS: dict[str, Callable] = {
 }
 
 
+#: Whole numbers that may be classes.
+CLASSES = 1000
+
+
+class MultinomialRegression(Estimator):
+    """Logistic regression scored as a regressor: each whole number that the target takes is a class, and the most likely one is the prediction."""
+
+    def __init__(self, label: str = "target", iterations: int = 100):
+        super().__init__()
+        self.label, self.iterations = label, iterations
+
+    def _fit(self, dataset: DataFrame) -> NumbersFromClasses:
+        y = F.col(self.label)
+        rows = dataset.filter(y.isNotNull())
+        values = [r[0] for r in rows.select(y.cast("double").alias("y")).distinct().orderBy("y").limit(CLASSES + 1).collect()]
+        if len(values) > CLASSES or any(v != int(v) for v in values):
+            raise ValueError(f"the target must take {CLASSES} whole numbers at most")
+        classes = dataset.sparkSession.createDataFrame([(v, float(k)) for k, v in enumerate(values)], "_value double, _class double")
+        known = rows.join(F.broadcast(classes), y.cast("double") == F.col("_value"))  # CLASSES rows at most
+        return NumbersFromClasses(LogisticRegression(family="multinomial", maxIter=self.iterations, labelCol="_class").fit(known), values)
+
+
 def pipeline(estimator, numeric: list[str], categorical: list[str], max_abs: bool = False, scaling: dict[str, tuple[float, float]] | None = None, missing: bool = False) -> Pipeline:
     """Scaled numbers and categories, one column a value (unknown ones: zeros), all into one vector, then the estimator.
 
@@ -158,14 +180,19 @@ def leaderboard(results: DataFrame, metric: Metric) -> DataFrame:
     return results.orderBy(best, "model")
 
 
-def cross_validate(df: DataFrame, key: str, k: int, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], metrics: tuple[Metric, ...], truth: str, prediction: str = "prediction") -> DataFrame:
-    """Mean and standard deviation (of the population) of each metric over k folds; encoders are fitted anew in each."""
+def fold_metrics(df: DataFrame, key: str, k: int, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], metrics: tuple[Metric, ...], truth: str, prediction: str = "prediction") -> DataFrame:
+    """fold and each metric, a row a fold; folds are evaluated side by side, and everything is fitted anew in each."""
     with kept(df.withColumn("fold", fold_of(key, k))) as (folded,):
         one = lambda i: tuple(evaluate(fit(folded.filter(F.col("fold") != i))(folded.filter(F.col("fold") == i)), metrics, truth, prediction).first())
         done = SideBySide(df.sparkSession)({str(i): (lambda i=i: one(i)) for i in range(k)})
     if failed := [x for x in done if x.error]:
         raise RuntimeError(f"fold {failed[0].name}: {failed[0].error}")
-    rows = df.sparkSession.createDataFrame([tuple(None if v is None else float(v) for v in x.value) for x in done], ", ".join(f"`{m.name}` double" for m in metrics))
+    return df.sparkSession.createDataFrame([(int(x.name), *(None if v is None else float(v) for v in x.value)) for x in done], "fold int, " + ", ".join(f"`{m.name}` double" for m in metrics))
+
+
+def cross_validate(df: DataFrame, key: str, k: int, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], metrics: tuple[Metric, ...], truth: str, prediction: str = "prediction") -> DataFrame:
+    """Mean and standard deviation (of the population) of each metric over k folds."""
+    rows = fold_metrics(df, key, k, fit, metrics, truth, prediction)
     return rows.agg(*[f(m.name).alias(f"{n}[{m.name}]") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 

@@ -18,6 +18,9 @@ from ..operators import experiment as R
 from ..operators import features as X
 from ..operators import models as E
 from ..operators import profile as P
+from ..operators import search as S
+from ..operators.boosting import BoostedTrees
+from ..operators.time_folds import rolling_origin, time_folds
 from ..sources.io import records, table
 
 #: Threshold of a positive order, in units of money; a tenth of the orders.
@@ -460,3 +463,107 @@ def score_records(spark, d):
     schema = T.StructType.fromDDL("l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string")
     one = {"l_extendedprice": 40000.0, "l_discount": 0.05, "l_tax": 0.02, "l_returnflag": "N", "l_linestatus": "O"}
     return E.score(model, records(spark, [one, one | {"l_returnflag": "unseen"}], schema)).select("l_extendedprice", "l_returnflag", "prediction")
+
+
+# --- missing values, time and whole tables ------------------------------------------------------
+
+
+@query("histogram_with_nulls", """with v as (select l_extendedprice as x from lineitem where l_linenumber <> 3), e as (select min(x) as lo, max(x) as hi from v)
+    select least(floor((x - lo) / ((hi - lo) / 50)), 49)::bigint as bin, count(*) as n from v, e group by 1""")
+def histogram_with_nulls(spark, d):
+    return P.histogram(table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("x")), "x")
+
+
+@query("accuracy_missing_predictions", "select avg(cast((value >= 150) is not distinct from (case when event_id % 10 <> 0 then event_id % 2 = 0 end) as integer)) as accuracy from events")
+def accuracy_missing_predictions(spark, d):
+    rows = table(spark, d, "events").select((F.col("value") >= 150).alias("y"), F.when(F.col("event_id") % 10 != 0, F.col("event_id") % 2 == 0).alias("p"))
+    return M.evaluate(rows, (M.accuracy(),), "y", "p")
+
+
+@query("confusion_missing_predictions", """with c as (select (value >= 150)::varchar as truth, (case when event_id % 10 <> 0 then event_id % 2 = 0 end)::varchar as prediction from events), l as (select truth as label from c union select prediction from c)
+    select a.label as truth, b.label as prediction, (select count(*) from c where truth is not distinct from a.label and prediction is not distinct from b.label) as n from l a, l b""")
+def confusion_missing_predictions(spark, d):
+    rows = table(spark, d, "events").select((F.col("value") >= 150).cast("string").alias("y"), F.when(F.col("event_id") % 10 != 0, F.col("event_id") % 2 == 0).cast("string").alias("p"))
+    return M.confusion_matrix(rows, "y", "p")
+
+
+@query("nearest_neighbour_join", "select query_key, neighbour_key, neighbour_target from (select q.p_partkey as query_key, t.p_partkey as neighbour_key, t.p_brand as neighbour_target, row_number() over (partition by q.p_partkey order by (q.p_size - t.p_size) * (q.p_size - t.p_size)::double + (q.p_retailprice - t.p_retailprice) * (q.p_retailprice - t.p_retailprice), t.p_partkey) as k from part q, part t where q.p_partkey <> t.p_partkey) where k = 1")
+def nearest_neighbour_join(spark, d):
+    """The nearest other row of every row."""
+    part = table(spark, d, "part")
+    return E.nearest_neighbour(part, part, "p_partkey", ["p_size", "p_retailprice"], "p_brand")
+
+
+@query("time_folds", "select event_id, (cast(rn > n * 1 // 4 as integer) + cast(rn > n * 2 // 4 as integer) + cast(rn > n * 3 // 4 as integer))::integer as fold from (select event_id, row_number() over (order by ts, event_id) as rn, count(*) over () as n from events)")
+def folds_in_time(spark, d):
+    return time_folds(table(spark, d, "events").select("event_id", "ts"), "ts", "event_id", 3).select("event_id", "fold")
+
+
+_FOLD = "select value, (cast(rn > n * 1 // 4 as integer) + cast(rn > n * 2 // 4 as integer) + cast(rn > n * 3 // 4 as integer)) as fold from (select value, row_number() over (order by ts, event_id) as rn, count(*) over () as n from events)"
+_ORIGIN = " union all ".join(f"select {i} as fold, (select count(*) from f where fold < {i}) as n_train, count(*) as n_test, 'mean' as model, round(avg(abs(value - p)), 6) as MAE, round(sqrt(avg((value - p) * (value - p))), 6) as RMSE from f, (select avg(value) as p from f where fold < {i}) where fold = {i}" for i in (1, 2, 3))
+
+
+@query("rolling_origin", f'with f as ({_FOLD}) select fold::integer as fold, n_train, n_test, model, MAE as "MAE", RMSE as "RMSE" from ({_ORIGIN})')
+def rolling(spark, d):
+    """Expanding folds; the mean of the training rows is chosen over nothing by the inner split."""
+    def mean(train):
+        value = train.agg(F.avg("value").alias("prediction"))  # one row
+        return lambda test: test.crossJoin(F.broadcast(value))
+
+    models = {"mean": mean, "zero": lambda train: lambda test: test.withColumn("prediction", F.lit(0.0))}
+    out = rolling_origin(table(spark, d, "events").select("event_id", "ts", "value"), "ts", "event_id", models, (M.mae(), M.rmse()), "value")
+    return out.withColumns({n: F.round(n, 6) for n in ("MAE", "RMSE")})
+
+
+@query("boosted_stump", """with r as (select case when p_partkey % 5 = 0 then null else p_size end as x, p_retailprice as y from part), b as (select avg(y) as base from r), c as (select distinct x from r where x is not null), m as (select false as ml union all select true),
+    s as (select c.x as threshold, ml, sum(case when r.x <= c.x or (r.x is null and ml) then base - y else 0 end) as gl, count(case when r.x <= c.x or (r.x is null and ml) then 1 end) as hl, sum(base - y) as g, count(*) as h from r, b, c, m group by 1, 2)
+    select threshold::double as threshold, ml as missing_left, round(-gl / (hl + 2), 2) as left_value, round(-(g - gl) / (h - hl + 2), 2) as right_value from s where hl >= 30 and h - hl >= 30 order by gl * gl / (hl + 2) + (g - gl) * (g - gl) / (h - hl + 2) desc limit 1""")
+def boosted_stump(spark, d):
+    """The first split of boosted trees, missing values and all, against all cuts."""
+    rows = table(spark, d, "part").select(F.array(F.when(F.col("p_partkey") % 5 != 0, F.col("p_size")).cast("double")).alias("x"), F.col("p_retailprice").alias("y"))
+    tree = BoostedTrees(featuresCol="x", labelCol="y", rounds=1, maxDepth=1, eta=1.0, regLambda=2.0, minChildWeight=30.0).fit(rows).trees[0]
+    left = int(tree.left[0])
+    one = (float(tree.threshold[0]), bool(tree.missing_left[0]), float(tree.value[left]), float(tree.value[left + 1]))
+    return spark.createDataFrame([one], "threshold double, missing_left boolean, left_value double, right_value double").withColumns({n: F.round(n, 2) for n in ("left_value", "right_value")})
+
+
+@query("model_boosted_encoded")
+def model_boosted_encoded(spark, d):
+    """The tuned boosted trees with the customer's encoding, whose missing values they take as they are; ten trees."""
+    rows, learners = priced_orders(spark, d)
+    boosted = E.Learner("boosted_encoded", lambda n: BoostedTrees(rounds=10, labelCol="target", **E.TUNED), learners[1].features, learners[1].encoders, missing=True)
+    return R.evaluate_learners(rows, "o_orderkey", [boosted], R.EvaluationParams(seed=21))
+
+
+@query("search_parzen")
+def search_parzen(spark, d):
+    """Trials over all five parameters of boosted trees, the given point first."""
+    rows, learners = priced_orders(spark, d)
+    split = D.split_train_test(rows, "o_orderkey", seed=21)
+    make = lambda p: E.Learner("boosted", lambda n: BoostedTrees(rounds=2, labelCol="target", **p), learners[1].features, learners[1].encoders, missing=True)
+    trials = S.search_learner(make, split.filter("not is_test"), split.filter("is_test"), trials=3, first=[S.BOOSTING_FIRST])
+    return spark.createDataFrame([(t.number, *[float(t.point[n]) for n in S.BOOSTING], t.loss) for t in trials], "trial int, " + ", ".join(f"{n} double" for n in S.BOOSTING) + ", RRSE double")
+
+
+@query("case_study_regressors")
+def case_study_regressors(spark, d):
+    """The regressors of a first study side by side: classes of whole numbers, the nearest row, a forest and a small tree."""
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice", F.col("p_size").cast("double").alias("target"))
+    units = (X.FeatureSpec(("p_retailprice",), rule="standardise"), X.FeatureSpec(("p_brand",), categorical=True))
+    learners = [E.Learner("logistic_regression", lambda n: E.MultinomialRegression(), units), E.NearestNeighbour("nearest_neighbour", "p_partkey", ("p_retailprice",))]
+    learners += [E.Learner(n, E.REGRESSORS[n], units) for n in ("random_forest", "decision_tree")]
+    return R.evaluate_learners(rows, "p_partkey", learners)
+
+
+@query("scatter_points")
+def scatter_points(spark, d):
+    """What a plot of price by size shows: a sample of some thousand points."""
+    return P.scatter(table(spark, d, "part"), "p_size", "p_retailprice", "p_brand")
+
+
+@query("train_models", "select l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 1) as slope from lineitem group by 1")
+def models_of_groups(spark, d):
+    """A learner fitted for each of a few groups."""
+    lines = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", F.col("l_extendedprice").alias("target"))
+    models = E.train_models(lines, "l_returnflag", lambda: E.Learner("linear", lambda n: LinearRegression(solver="normal", labelCol="target"), (X.FeatureSpec(("l_quantity",)),)))
+    return spark.createDataFrame([(g, float(m.model.stages[-1].coefficients[0])) for g, m in models.items()], "l_returnflag string, slope double").withColumn("slope", F.round("slope", 1))

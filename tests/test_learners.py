@@ -91,3 +91,13 @@ def test_tuned_parameters_and_search(spark, rows, tmp_path):
     trials = S.search_learner(make, rows.filter("k < 200"), rows.filter("k >= 200"), **options)
     assert len(trials) == 2 and trials[0].point == S.BOOSTING_FIRST and 0 < S.best(trials).loss < 2
     assert S.search_learner(make, rows.filter("k < 200"), rows.filter("k >= 200"), **options) == trials
+
+
+def test_whole_numbers_as_classes(spark, tmp_path):
+    rows = spark.createDataFrame([(k, float(k % 4), float(10 * (k % 4) - 5)) for k in range(120)], "k int, x double, target double")
+    fitted = E.Learner("multinomial", lambda n: E.MultinomialRegression(), (X.FeatureSpec(("x",)),)).fit(rows)
+    assert fitted.transform(rows).filter("prediction <> target").count() == 0
+    fitted.write().overwrite().save(f"{tmp_path}/m")
+    assert L.load_learner(spark, f"{tmp_path}/m").transform(rows).filter("prediction <> target").count() == 0
+    with pytest.raises(ValueError, match="whole numbers"):
+        E.Learner("multinomial", lambda n: E.MultinomialRegression(), (X.FeatureSpec(("x",)),)).fit(rows.withColumn("target", F.col("target") + 0.5))

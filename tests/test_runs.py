@@ -7,6 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import metrics as M
+from tablewright.operators import dataset as D
+from tablewright.operators import experiment as R
+from tablewright.operators import features as X
+from tablewright.operators import learners as L
 from tablewright.operators import models as E
 from tablewright.operators.run_store import RunStore
 from tablewright.operators.side_by_side import SideBySide, kept
@@ -130,3 +134,22 @@ def test_encodings_on_a_stream(spark, tmp_path):
         run()
     got = {r["k"]: (r["m"], r["m_missing"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {0: (1.0, 0), 1: (2.0, 0), 2: (0.5, 1), 3: (0.5, 1), 10: (7.0, 0), 11: (0.5, 1), 12: (9.0, 0)} and spark.read.parquet(f"{tmp_path}/out").count() == 7
+
+
+def test_experiments_are_tracked(spark, tmp_path):
+    rows = spark.createDataFrame([(k, float(k % 10), "abc"[k % 3], float(3 * (k % 10) + k % 3)) for k in range(150)], "k int, x double, g string, target double")
+    units = (X.FeatureSpec(("x",), rule="standardise"),)
+    linear = lambda name, *encoders: E.Learner(name, E.REGRESSORS["linear_regression"], units, encoders)
+    learners = [linear("plain"), linear("encoded", X.TargetEncoder("g", F.col("target"), "g_mean"))]
+    store, data = RunStore(spark, f"{tmp_path}/runs"), D.Dataset("k", "target", threshold=15)
+    for _ in range(2):
+        R.track_experiment(store, data, "songs", rows, learners, run="1", models=f"{tmp_path}/models")
+        cv = R.track_experiment(store, data, "songs", rows, learners, run="1", cross_validated=True)
+    single, folded = D.experiment_name("songs", data), D.experiment_name("songs", data, True)
+    assert store.runs.count() == 2 and store.values.filter(F.col("experiment") == single).count() == 12 and store.values.filter(F.col("experiment") == folded).count() == 36
+    best = store.best(single, M.r2()).first()
+    stored = L.load_learner(spark, f"{tmp_path}/models/{data.tag}/best_model")
+    assert stored.name == store.best(single, M.mae()).first()["model"] and "FeatureSpec" in best["parameters"]["model.plain"]
+    assert "plain" in store.runs.filter(F.col("experiment") == single).first()["log"]
+    means = {r["model"]: r["mean"] for r in store.means(folded).filter("metric = 'MAE'").collect()}
+    assert means == pytest.approx({r["model"]: r["MAE"] for r in cv.collect()})
