@@ -9,12 +9,14 @@ e of the plane half way between the two. So every link is found in the home cell
 of either end, and cells are joined independently. A cell with many members is
 cut into blocks, and pairs of blocks are compared; all tasks are bounded.
 
-Equal vectors are joined as one with a count, so copies make no pairs. A block
-gives the number of links of its rows and a spanning forest, not the links.
+Equal vectors of a label are one class, known by a 128-bit hash of both and joined as one
+with a count, so copies make no pairs. A block
+gives the number of links of its classes and a spanning forest, not the links.
 
 Defined cases: a null label, a null or zero vector and one with null or
 non-finite components links with nothing; vectors of different dimensions do
-not link; rows that repeat a vec_id count as separate vectors under that id; an
+not link; rows that repeat a vec_id, or have none, are vectors of their own and link like others; the
+component of vectors that all have no id is null, and all of them are kept; a cosine that is the threshold links; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -57,9 +59,10 @@ def link(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", label
     """One row per vector: vec_id, n_links, component_id (least vec_id reachable), kept."""
     rows = vectors.select(F.col(key).alias("vec_id"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
     fine = F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.withColumn("fine", F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & fine, F.lit(False)))
-    group = rows.filter("fine").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    reps = c.stored(group.withColumns({"dim": F.size("embedding"), "h": F.xxhash64("rep", "embedding").bitwiseAND(F.lit(2**63 - 1))}), "vectors")
+    rows = rows.withColumn("fine", F.coalesce(F.col("label").isNotNull() & fine, F.lit(False)))
+    group = rows.filter("fine").groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
+    name = F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(n), "label", "embedding")), 16, "0") for n in (1, 2)])
+    reps = c.stored(group.withColumns({"rep": name, "dim": F.size("embedding"), "h": F.xxhash64("label", "embedding").bitwiseAND(F.lit(2**63 - 1))}), "vectors")
     e = math.sqrt(2 - 2 * threshold) + 1e-9
 
     def place(batches):
@@ -81,7 +84,7 @@ def link(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", label
             got = pdf.iloc[out["row"]]
             yield pd.DataFrame({"label": got["label"].to_numpy(), "dim": got["dim"].to_numpy(), "rep": got["rep"].to_numpy(), "copies": got["copies"].to_numpy(), "embedding": got["embedding"].to_numpy(), "cell": out["cell"], "home": out["home"]})
 
-    kind, ids = reps.schema["label"].dataType.simpleString(), reps.schema["rep"].dataType.simpleString()
+    kind, ids = reps.schema["label"].dataType.simpleString(), "string"
     with_pivots = reps.join(_pivots(reps), ["label", "dim"])
     placed = c.stored(with_pivots.mapInPandas(place, f"label {kind}, dim int, rep {ids}, copies long, embedding array<double>, cell int, home boolean"), "cells")
     sizes = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nb"))
@@ -110,12 +113,15 @@ def link(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", label
     found = c.stored(dealt.groupBy("label", "dim", "cell", "i", "j").applyInPandas(compare, f"rep {ids}, links long, root {ids}"), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = reps.select("label", "embedding", "rep", "copies").join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    out = rows.join(known.withColumn("fine", F.lit(True)), ["fine", "label", "embedding"], "left")
+    known = reps.select("label", "embedding", "rep", "copies", "least_id").join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    known = c.stored(known.withColumn("component", F.coalesce("component", "rep")), "classes")
+    least = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    known = known.join(least, "component").withColumn("fine", F.lit(True))
+    out = rows.join(known, ["fine", "label", "embedding"], "left")
     return out.select(
         "vec_id",
         F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"),
-        F.coalesce("component", "rep", "vec_id").alias("component_id"),
+        F.when(F.col("rep").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -125,6 +125,47 @@ def test_embeddings(spark):
     assert all((got[k]["n_links"], got[k]["component_id"]) == (0, k) for k in range(900, 906))
 
 
+def test_embeddings_with_repeated_and_missing_ids(spark):
+    """Against all pairs, with ids that say nothing about the vectors."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(30, 6))
+    x = np.concatenate([base, base + rng.normal(scale=0.06, size=base.shape), base[:10], base[20:26]])
+    ids = [None if k % 7 == 0 else int(k % 11) for k in range(len(x))]
+    ids[3] = ids[33] = None  # a group without any id, if nothing else links with it
+    frame = spark.createDataFrame([(i, 0, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, label int, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.98 - 1e-15
+    np.fill_diagonal(hit, False)
+    group = np.arange(len(x))
+    for _ in range(len(x)):
+        group = np.minimum(group, np.where(hit, group[None, :], len(x)).min(1))
+    want = Counter()
+    for k in range(len(x)):
+        known = [ids[j] for j in range(len(x)) if group[j] == group[k] and ids[j] is not None]
+        least = min(known, default=None)
+        want[ids[k], int(hit[k].sum()), least, ids[k] == least] += 1
+    assert Counter(map(tuple, embedding_join.link(frame).collect())) == want and hit.sum() > 60
+
+
+def test_empty_tables(spark, labels):
+    """Every operator gives no rows for none."""
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    vectors = spark.createDataFrame([], "vec_id long, label int, embedding array<double>")
+    assert embedding_join.link(vectors).count() == 0 and packing.packed_documents(docs).count() == 0 and mixing.mix(docs, labels).count() == 0
+    assert quality.score(docs, quality.fit(docs, labels)).count() == 0 and jaccard_join.join(docs).count() == 0
+    assert language_model.score(docs, language_model.fit(docs)).count() == 0
+
+
+def test_keys_that_share_a_draw(spark, labels):
+    """Rows without a key, and equal rows, are rounded up or down each for itself."""
+    docs = spark.createDataFrame([(None, f"some words number {k}") for k in range(150)] + [(1, "the same words again")] * 150, "doc_id long, text string")
+    model = mixing.fit(docs, labels)
+    has = np.array([r["posterior"] for r in mixing.posteriors(docs, model).collect()]) * 4
+    out = mixing.mix(docs, labels, targets=has.sum(0) * 0.5).collect()
+    for some in ([r for r in out if r["doc_id"] is None], [r for r in out if r["doc_id"] == 1]):
+        assert abs(sum(r["copies"] for r in some) - sum(r["rate"] for r in some)) < 25 and len({r["copies"] for r in some}) == 2
+
+
 def test_packing(spark, odd, docs):
     for frame in (odd, docs):
         rows = packing.packed_documents(frame).collect()
