@@ -12,7 +12,7 @@ sum in whole numbers, and only sums over domains come to the driver. Two runs ov
 same rows give the same rates to the last bit.
 
 Tokens are words between ASCII white space, one at least. Defined cases: a null
-text counts as empty; labels with nulls or contradictions are ignored; without
+text counts as empty; labels with nulls or contradictions are ignored; of texts that share a labelled key, that with the least hash counts; without
 labels of two domains all posteriors are the shares of the labels (equal without
 any); a domain that nothing belongs to cannot be met and gets what is least in
 squares; very long texts count whole; an empty table gives an empty result; repeated rows get equal rates; a target that is not given is 0; other
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as c
+from .quality import one_text
 
 DOMAINS = ("clean", "low", "toxic")
 #: ASCII signs that are not letters or digits separate words here.
@@ -104,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key
         return of
 
     # At most ``rows`` keys a domain: a proven bound for the broadcast.
-    texts = c.id_texts(docs, key, text).join(F.broadcast(sample), "doc_id")
+    texts = one_text(c.id_texts(docs, key, text).join(F.broadcast(sample), "doc_id"), "doc_id", "y")
     fields = [c.field("form", T.ArrayType(T.DoubleType())), T.StructField("words", T.ArrayType(T.StringType()))]
     both = c.stored(_with_words(texts, make, fields), "sample")
     y_words = both.select("y", F.explode("words").alias("w")).groupBy("w").agg(*[F.count_if(F.col("y") == k).alias(f"n{k}") for k in range(len(DOMAINS))])
@@ -223,10 +224,13 @@ def fit_rates(scored: DataFrame, targets: np.ndarray | None, settings: Settings
 
 
 def mix(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), targets: np.ndarray | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns with n_tokens, posterior, rate, and copies: the rate rounded up or down by a hash of the key, so that it holds on average."""
+    """All rows and columns with n_tokens, posterior, rate, and copies: the rate rounded up or down by a hash of key, text and place, so that it holds on average.
+
+    The place is that in the written posteriors, so that rows without a key, and rows that repeat, are not all rounded alike.
+    """
     scored = c.stored(posteriors(docs, fit(docs, labels, settings, key, text), text), "posteriors")
     rated = scored.withColumn("rate", _rate(fit_rates(scored, targets, settings)))
-    chance = F.xxhash64(F.lit(29), F.col(key)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    chance = F.xxhash64(F.lit(29), F.col(key), F.col(text), F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     return rated.withColumn("copies", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
 
 

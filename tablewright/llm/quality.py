@@ -98,12 +98,18 @@ def _logistic(a: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40
     return w
 
 
+def one_text(texts: DataFrame, *by: str) -> DataFrame:
+    """Of rows that share a key one text, that with the least hash, so that as many texts come to the driver as there are keys."""
+    return texts.groupBy(*by).agg(F.min_by("text", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))).alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Fit on a bounded sample of labelled rows, taken in the order of a hash of the key.
 
     Of each class at most ``dictionary_rows + calibration_rows`` texts are
     used: some for the dictionaries, the rest for the calibration, whose
-    features are computed on the executors over whole texts.
+    features are computed on the executors over whole texts. Of texts that share a
+    labelled key, that with the least hash counts.
     """
     one = (
         labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -124,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key
     spark = docs.sparkSession
     sample = spark.createDataFrame(rows, T.StructType([T.StructField("doc_id", one.schema["doc_id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("dictionary", T.BooleanType())]))
     # At most 2 * (dictionary_rows + calibration_rows) keys: a proven bound for the broadcast.
-    texts = c.id_texts(docs, key, text).join(F.broadcast(sample), "doc_id")
+    texts = one_text(c.id_texts(docs, key, text).join(F.broadcast(sample), "doc_id"), "doc_id", "y", "dictionary")
     block = settings.block_bytes
     # ``dictionary_rows`` whole texts of each class at most.
     got = texts.filter("dictionary").select("y", "text").orderBy("doc_id", "text").collect()
