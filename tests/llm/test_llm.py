@@ -435,3 +435,112 @@ def test_pipeline_near_duplicates_without_a_unique_key(spark, sf_dir):
     rows = spark.createDataFrame(go + stay, "doc_id long, text string, source string").repartition(3)
     got = Counter(map(tuple, corpus_pipeline.near_duplicates(spark, rows, sf_dir).collect()))
     assert got == Counter(stay)
+
+
+def test_quality_scores_one_by_one(spark, labels):
+    """Scores from plain calls of the compressor, for whole texts in blocks."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, quality.training_labels(spark.read.parquet("/root/testdata/sf0.01/labels.parquet")))
+
+    def sizes(data, dictionary):
+        made = zstandard.ZstdCompressor(level=model.settings.level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False)
+        return sum(len(made.compress(data[i : i + 2000])) for i in range(0, len(data), 2000))
+
+    def brute(text):
+        raw = text.encode()
+        flat = re.sub(rb"[0-9]", b"0", re.sub(rb"[A-Z]+", b"A", re.sub(rb"[a-z\x80-\xff]+", b"a", raw)))
+        z = 1.0 * model.weights[0]
+        x = []
+        for data, good, bad in ((raw, *model.dictionaries[:2]), (flat, *model.dictionaries[2:])):
+            g, b = sizes(data, good), sizes(data, bad)
+            x += [(b - g) / max(b, g, 1), min(g, b) / (len(data) + 20)]
+        for k, v in enumerate(x):
+            v = min(max((v - model.mean[k]) / model.scale[k], -4), 4)
+            z += v * model.weights[1 + k] + v * v * model.weights[1 + len(x) + k]
+        return 1 / (1 + math.exp(-z))
+
+    some = docs.orderBy(F.xxhash64("doc_id")).limit(60).collect() + docs.orderBy(F.desc(F.length("text"))).limit(2).collect()
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert [got[r["doc_id"]] for r in some] == pytest.approx([brute(r["text"] or "") for r in some], abs=1e-6)
+
+
+CLASHES = ["score", "rate", "copies", "posterior", "n_tokens", "n_lines", "n_removed", "_text", "_hash", "_maybe", "_gone", "_known", "_row", "_copy", "known", "document", "copy", "h1", "line", "kept"]
+
+
+def test_pipeline_stages_one_by_one(spark):
+    """Each stage on all that its predecessor kept, against plain Python; columns whose names the operators use come through."""
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.01"
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id % 2 = 0")
+    odd = spark.createDataFrame([(None, None, "en", "a", 0), (None, "", "en", "a", 0), (99999, "word " * 20000, None, None, 1)], base.schema)
+    docs = base.unionAll(odd).withColumns({n: F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in CLASHES}).cache()
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    row = lambda r: (r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], *[r[n] for n in CLASHES])
+
+    stage = dict(corpus_pipeline.STAGES)
+    out = stage["quality_classifier"](spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    model = quality.fit(docs, labels)
+    score = {(r["doc_id"], r["text"]): r["score"] for r in quality.score(base.unionAll(odd), model).collect()}
+    want = [row(r) for r in docs.collect() if score[r["doc_id"], r["text"]] >= model.settings.threshold]
+    assert Counter(map(row, out.collect())) == Counter(want) and 0 < len(want) < docs.count()
+
+    docs = out.cache()
+    out = stage["line_dedup"](spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    lines = line_dedup._lines(docs, "doc_id", "text")
+    group = {(r["node"]["h1"], r["node"]["h2"]): tuple(r["component"]) for r in line_dedup.groups(lines, 0.8, 3).collect()}
+    named = {r["line"]: group.get((r["h1"], r["h2"]), (r["h1"], r["h2"])) for r in lines.select("line", "h1", "h2").distinct().collect()}
+    first, want = set(), Counter()
+    texts = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("order")).collect()
+    for r in sorted(texts, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["order"])):
+        left, lost = [], 0
+        for x in (r["text"] or "").split("\n"):
+            name = named.get(_normal(x)) if _normal(x) else None
+            if name in first and name is not None:
+                lost += 1
+            else:
+                left.append(x)
+            first.add(name)
+        text = "\n".join(left)
+        if not lost or text.strip(" "):
+            want[(r["doc_id"], text, r["lang"], r["source"], len(text), *[r[n] for n in CLASHES])] += 1
+    assert Counter(map(row, out.collect())) == want
+
+    docs = out.cache()
+    out = stage["jaccard_join"](spark, docs, sf_dir)
+    rows = docs.collect()
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := r["text"].split()) else set() for r in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = shingles[i], shingles[j]
+            if a and b and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                root[find(i)] = find(j)
+    best = {}
+    for k, r in enumerate(rows):
+        key = (find(k),) if shingles[k] else ("empty", k)
+        best[key] = min(best.get(key, r), r, key=lambda x: (x["doc_id"] is None, x["doc_id"] or 0))
+    assert Counter(map(row, out.collect())) == Counter(map(row, best.values()))
+
+    docs = out.cache()
+    out = stage["source_mixing"](spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    rates = {(r["doc_id"], r["text"]): r["rate"] for r in mixing.mix(docs.select("doc_id", "text"), labels).collect()}
+    times = Counter(map(row, out.collect()))
+    for r in docs.collect():
+        assert math.floor(rates[r["doc_id"], r["text"]]) <= times.pop(row(r), 0) <= math.floor(rates[r["doc_id"], r["text"]]) + 1
+    assert not times
+
+    pieces = stage["packing"](spark, out, sf_dir).collect()
+    tokens = sum(len(_encode("byte_bpe_50k.json", r["text"], 0)) for r in out.collect())
+    assert sum(r["length"] for r in pieces) == tokens and len({(r["sequence_id"], r["offset"]) for r in pieces}) == len(pieces)
