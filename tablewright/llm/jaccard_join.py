@@ -13,13 +13,14 @@ may be similar go into one candidate component. Up to here a 64-bit hash stands
 for a set: others meet both of two sets that share it, and the exact step tells them apart. A component's sets then meet
 once, in blocks, and the exact Jaccard similarity of all its pairs decides.
 Blocks give numbers of links and spanning forests, never lists of pairs, so a
-large group costs comparisons but no rows. Cutting buckets and components into
+large group's result is small; its members are written once for each block that they meet. Cutting buckets and components into
 blocks keeps every task bounded without dropping a pair.
 
 Defined cases: a text without words (or null) links with nothing; a null key is
 carried but, where a class has other keys, never names it; repeated rows are
 members of one class; rows that share a key but not the text are joined as the
-texts they are; empty tables give empty results; other columns are ignored.
+texts they are; very long texts are compared whole; a similarity that is the threshold
+links, and of equal keys of a group any row is as good; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,8 +18,9 @@ word becomes a hot join key.
 
 Defined cases: a null text counts as empty and is one end token; a null key is
 never trained on (its remainder is null) and held_out is null; repeated rows
-are counted and scored as often as they occur; without training rows N and V
-are 0; other columns are ignored.
+are counted and scored as often as they occur; very long texts are counted and
+scored whole; words of equal counts are taken in their order; without training rows N and V
+are 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

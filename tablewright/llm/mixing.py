@@ -15,7 +15,7 @@ Tokens are words between ASCII white space, one at least. Defined cases: a null
 text counts as empty; labels with nulls or contradictions are ignored; of texts that share a labelled key, that with the least hash counts; without
 labels of two domains all posteriors are the shares of the labels (equal without
 any); a domain that nothing belongs to cannot be met and gets what is least in
-squares; very long texts count whole; an empty table gives an empty result; repeated rows get equal rates; a target that is not given is 0; other
+squares; very long texts count whole; an empty table gives an empty result; repeated rows get equal rates; a target that is not given is 0; words that tell equally much are taken in their order; other
 columns pass through, and a column named as an output is replaced.
 """
 

@@ -17,7 +17,7 @@ group of its own; a group of fewer than 100 passing texts is held against the
 estimate of its language, and if that has fewer too, against that of all texts, so
 every passing text gets a verdict; statistics that do not vary get
 a least scale, so no covariance is singular; repeated rows count as often as
-they occur; an empty table gives an empty result; other columns are ignored.
+they occur; texts of equal distance get one verdict, and one at the cutoff stays; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

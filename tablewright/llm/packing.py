@@ -9,7 +9,8 @@ smallest; a bin is opened only if the piece fits into none. A group's waste is a
 few bins, whatever the input.
 
 Defined cases: a null text counts as empty and is a piece of the end id alone;
-null keys pass through; repeated rows are packed as often as they occur; an
+null keys pass through; repeated rows are packed as often as they occur; very long texts are cut
+whole; pieces of equal length go in no stated order; an
 empty table gives no pieces; other columns are ignored.
 """
 

@@ -12,7 +12,7 @@ ratios of 0 and gets the calibrated score of such a text; null keys pass
 through; an empty table gives an empty result, and without labels or documents to
 learn from the score is constant; very long texts are scored whole, block by block;
 repeated rows are scored alike; labels with null quality or null key
-are ignored, keys with contradicting labels too; columns of the table are kept
+are ignored, keys with contradicting labels too; a score at the threshold is good; columns of the table are kept
 and a column named as an output is replaced. If either class has too few rows
 to train dictionaries, the score is the share of good labels (0.5 without any).
 """
