@@ -68,8 +68,8 @@ class SideBySide:
 
     def cancel(self) -> None:
         self.stopped.set()
-        for name in self.names:
-            self.spark.sparkContext.cancelJobGroup(self.group(name))
+        for name in self.names:  # also those whose first job has not begun
+            self.spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(self.group(name))
 
 
 @contextmanager
