@@ -235,6 +235,50 @@ def test_line_groups_against_all_pairs(spark, docs, texts):
     assert all(len({find(x) for x in g}) == 1 for g in by.values() if max(map(len, g)) <= line_dedup.LONG_LINE)
 
 
+def _near(line, kind, rng, words):
+    """A copy with one letter, one word, or an eighth of the words changed, at random places."""
+    if kind == "letter":
+        k = int(rng.integers(len(line)))
+        return line[:k] + "abcdefghijklmnop"[rng.integers(16)] + line[k + 1 :]
+    out = line.split(" ")
+    for k in rng.choice(len(out), max(1, len(out) // 8) if kind == "eighth" else 1, replace=False):
+        out[k] = words[rng.integers(len(words))]
+    return " ".join(out)
+
+
+def _similarity(a, b):
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        now = [i + 1]
+        for j, y in enumerate(b):
+            now.append(min(now[j] + 1, before[j + 1] + 1, before[j] + (x != y)))
+        before = now
+    return 1 - before[-1] / max(len(a), len(b))
+
+
+def test_near_lines_of_every_length_meet(spark):
+    """Constructed copies by band of length: nine in ten at least are in one group with their line, of long lines with words changed all over eight in ten."""
+    rng = np.random.default_rng(17)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = sorted(r["line"] for r in line_dedup._lines(docs, "doc_id", "text").select("line").distinct().collect())
+    words = sorted({w for x in lines for w in x.split(" ") if len(w) > 2})
+    made = []
+    for low in (16, 32, 64, 128, 256):
+        some = [x for x in lines if low <= len(x) < 2 * low]
+        for kind in ("letter", "word", "eighth"):
+            pairs = ((x, _near(x, kind, rng, words)) for x in (some[k] for k in rng.permutation(len(some))))
+            good = ((x, y) for x, y in pairs if y != x and y.split() and " ".join(y.split()) == y and _similarity(x, y) >= 0.8)
+            made += [(low, kind, *pair) for pair, _ in zip(good, range(40), strict=False)]
+    rows = spark.createDataFrame(list(enumerate([*lines, *(y for *_, y in made)])), "doc_id long, text string")
+    named = line_dedup._lines(rows, "doc_id", "text")
+    nodes = named.select("line", F.struct("h1", "h2").alias("node")).distinct()
+    group = {r["line"]: r["component"] for r in line_dedup.groups(named, 0.8, 3).join(nodes, "node").select("line", "component").collect()}
+    for low in (16, 32, 64, 128, 256):
+        for kind in ("letter", "word", "eighth"):
+            some = [x in group and group[x] == group.get(y) for a, k, x, y in made if (a, k) == (low, kind)]
+            assert len(some) > 20 and np.mean(some) >= (0.8 if kind == "eighth" and low >= 64 else 0.9), (low, kind, np.mean(some))
+
+
 def test_line_dedup(spark, docs, odd):
     some = docs.limit(120).select("doc_id", "text").collect()
     rows = [(r["doc_id"], r["text"]) for r in some] + [(1000 + r["doc_id"], r["text"].replace("the", "thee", 1)) for r in some[:30]] + [(5000, None), (5001, "\n\n"), (None, some[0]["text"]), (5002, some[1]["text"]), (5002, "other words of the same key")]
