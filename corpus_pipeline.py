@@ -12,15 +12,21 @@ from pyspark.sql import functions as F
 from tablewright.llm import common, jaccard_join, line_dedup, mixing, packing, quality
 
 
+def _others(docs: DataFrame) -> list[str]:
+    return [n for n in docs.columns if n not in ("doc_id", "text")]
+
+
 def _carried(docs: DataFrame) -> DataFrame:
-    """Key and text for the operators, and the whole row beside them in one column, so that no column of the documents meets one of theirs."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("document"))
+    """Key and text for the operators, and all else of the row beside them in one column, so that no column of the documents meets one of theirs."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(_others(docs))]).alias("document"))
 
 
 def _documents(rows: DataFrame, docs: DataFrame, cut: bool = False) -> DataFrame:
-    """The rows as they came in; with ``cut`` with the text as it is now, and n_chars as that has."""
-    now = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None} if cut else {}
-    return rows.select(*[(now[n] if n in now else F.col("document").getField(n)).alias(n) for n in docs.columns])
+    """The rows as they came in; with ``cut``, where texts have changed, with n_chars as the text has."""
+    place = {n: F.col("document").getField(f"c{i}") for i, n in enumerate(_others(docs))} | {n: F.col(n) for n in ("doc_id", "text")}
+    if cut and "n_chars" in place:
+        place["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[place[n].alias(n) for n in docs.columns])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = _carried(docs)
     some = rows.filter(words).withColumn("known", known)
     kept = jaccard_join.join(some.select("known", "text"), key="known").filter("kept").select(F.col("doc_id").alias("known")).distinct()
-    one = some.join(kept, "known", "left_semi").groupBy("known").agg(F.min("document").alias("document"))
+    one = some.join(kept, "known", "left_semi").groupBy("known").agg(F.min(F.struct("doc_id", "document", "text")).alias("row")).select("row.*")
     return _documents(one, docs).unionAll(_documents(rows.filter(~words), docs))
 
 
