@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from tablewright.llm.encoding import OTHER_SPACE, Encoder
 
-PARTS = ["SERİ", "İİ", "BELEDİYESİ", "x", "z", "x²", "¼", "ß", "é", "é", "don't", "'s", "It'S", "..", ".", ",", ",.", "a,b", "12", "3.5", "word", "Word", "ⅷ", "한글", "日本", "ﬁ", "́", "<|endoftext|>", "<|", "\x01", "\x01\x01", "ā", "😀", "ª.", "µ,", "ŉ.", "ǅ.", "а.", "١,", "​", "﻿", "­", "?!", "(a)"]
+PARTS = ["SERİ", "İİ", "BELEDİYESİ", "x", "z", "x²", "¼", "ß", "é", "é", "don't", "'s", "It'S", "..", ".", ",", ",.", "a,b", "12", "3.5", "word", "Word", "ⅷ", "한글", "日本", "ﬁ", "́", "<|endoftext|>", "<|", "\x01", "\x01\x01", "ā", "😀", "ª.", "µ,", "ŉ.", "ǅ.", "а.", "١,", "​", "﻿", "­", "?!", "(a)", "Ünïcode$$$", "ÅÉÎ_-", "ȺȾ.", "aóa&&&", "a<b", "a.<|", "[x]\\", "a\x02b", "ŉŉ", "ªº!", "Ñ's"]
 GAPS = [" "] * 12 + ["\n"] * 3 + ["", "", "  ", " \n", "\n\n", "\n ", *OTHER_SPACE]
 
 
