@@ -126,3 +126,22 @@ def test_odd_tables(spark):
     assert [r["prediction"] for r in model.transform(rows).collect()] == [3.0, 3.0, 3.0] and len(model.trees) == 1
     with pytest.raises(ValueError, match="unknown objective"):
         B.BoostedTrees(featuresCol="x", labelCol="y", objective="none").fit(rows)
+
+
+def test_rows_in_the_same_bins_are_one_cell(spark, monkeypatch):
+    """What a level reads does not grow with the copies of rows, and the trees stay as they are."""
+    read, level = [], B._level
+    monkeypatch.setattr(B, "_level", lambda cells, *rest: (read.append(cells.count()), level(cells, *rest))[1])
+    rows = spark.range(60).select(F.array((F.col("id") % 6).cast("double"), (F.col("id") % 5).cast("double")).alias("x"), (F.col("id") % 6 * (F.col("id") % 6) * 3 + F.col("id") % 5).cast("double").alias("y"))
+    fit = lambda df: B.BoostedTrees(featuresCol="x", labelCol="y", rounds=2, maxDepth=2, regLambda=0.0, minChildWeight=0.0).fit(df)
+    one, many = fit(rows), fit(rows.crossJoin(spark.range(20).select("id")))
+    assert max(read) <= 30
+    got, want = ([r["prediction"] for r in m.transform(rows).orderBy("x", "y").collect()] for m in (many, one))
+    assert got == pytest.approx(want, abs=1e-5)
+
+
+def test_wide_labels(spark):
+    """Hessians keep their digits however far the labels lie apart."""
+    rows = spark.createDataFrame([([float(k % 2)], 1e9 * (k % 2)) for k in range(40)], "x array<double>, y double")
+    tree = B.BoostedTrees(featuresCol="x", labelCol="y", rounds=1, maxDepth=1, eta=1.0, regLambda=0.0).fit(rows).trees[0]
+    assert sorted(tree.value[1:]) == pytest.approx([-5e8, 5e8], rel=1e-6)
