@@ -163,10 +163,13 @@ def _final_buckets(sets: DataFrame) -> DataFrame:
     """bucket, n, node of all buckets with two sets or more that need no further split."""
     out, split = [], None
     for level in range(START, DEPTH + 1):
+        if split is not None:  # only sets of a large bucket have paths that go on
+            large = split.select("node").distinct()
+            sets = c.likely(sets, "node", large, "node").join(large, "node", "left_semi")
         each = sets.select("node", F.explode(F.arrays_zip(f"path{level}", f"parent{level}")).alias("x")).select("node", F.col(f"x.path{level}").alias("bucket"), F.col(f"x.parent{level}").alias("parent"))
         if split is not None:
             parents = split.select(F.col("bucket").alias("parent")).distinct()
-            each = c.likely(each, "parent", parents, "parent").join(parents, "parent", "left_semi")
+            each = each.join(parents, "parent", "left_semi")
         # Most buckets have one set only; they are told by their least and greatest node and go before anything is shuffled by set.
         mixed = c.stored(each.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("bucket"), "mixed")
         some = c.likely(each, "bucket", mixed, "bucket").join(mixed, "bucket", "left_semi").select("node", "bucket").distinct()
