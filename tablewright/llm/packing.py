@@ -33,6 +33,8 @@ from .encoding import encoder
 
 #: Pieces that are packed together, about: a group is a bounded part of a task.
 GROUP_PIECES = 20_000
+#: Whole texts that an executor and its Python worker hold at a time, each.
+BATCH_ROWS = 512
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -123,5 +125,5 @@ def query(spark: SparkSession, sf_dir: str, size: int = 2048) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, size: int = 2048) -> DataFrame:
-    rows = c.stored(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), "spaces", end_id=0, size=size), "pieces")
+    rows = c.stored_in_batches(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), "spaces", end_id=0, size=size), "pieces", BATCH_ROWS)
     return pack(rows, size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
