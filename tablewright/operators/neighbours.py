@@ -104,7 +104,7 @@ def nearest_neighbour(queries: DataFrame, train: DataFrame, key: str, columns: l
     if not len(pivots):
         return spark.createDataFrame([], T.StructType([T.StructField(c, t) for c, t in names.items() if c != "d2"]))
 
-    blocked = _blocked(_placed(points, pivots))
+    blocked = _blocked(_placed(points, pivots).persist()).persist()  # both are read many times, and each would be placed anew
     packed = blocked.groupBy(*BLOCK).agg(F.collect_list(F.struct("x", "k1", "y1", "k2", "y2")).alias("points"))
     cells = blocked.groupBy("cell").agg(F.max("r").alias("reach"), F.count("*").alias("n")).select("cell", "reach", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(1)).alias("rings"))
     placed = _placed(asked, pivots)
