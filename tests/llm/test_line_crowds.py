@@ -31,3 +31,26 @@ def test_blocks_of_many_words_have_keys(spark):
     lines = named(spark, [" ".join(words), " ".join(reversed(words))])
     keys = line_dedup.block_keys(lines, 3).groupBy("key").agg(F.count_distinct("h1").alias("n")).collect()
     assert keys and all(r["n"] == 2 for r in keys)
+
+
+def test_no_table_of_a_crowded_block_grows_with_the_square_of_its_lines(spark, monkeypatch):
+    # 300 lines share their ends and are two edits or more apart, which none of them may be: a table of pairs would have some 45,000 rows.
+    abc = string.ascii_lowercase
+    lines = named(spark, [f"a{abc[i]}{abc[(i + k) % 26]}{abc[(i + 3 * k) % 26]}same" for k in range(12) for i in range(26)][:300])
+    rows = []
+
+    class Counted(line_dedup.c.Stored):
+        def __init__(self, *args, **options):
+            super().__init__(*args, **options)
+            rows.append(self.df.count())
+
+    monkeypatch.setattr(line_dedup.c, "Stored", Counted)
+    line_dedup.groups(lines, 0.8, 3).collect()
+    assert max(rows) <= 20 * 300
+
+
+def test_lines_outside_a_large_group_meet_all_of_it(spark, monkeypatch):
+    # Parts of a few lines: the last round must find every link between the lines that are outside the largest group and all others.
+    monkeypatch.setattr(line_dedup, "OUTSIDE", 3)
+    monkeypatch.setattr(line_dedup, "INSIDE", 5)
+    test_all_near_lines_of_a_crowded_block_are_in_one_group(spark)
