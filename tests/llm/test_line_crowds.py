@@ -54,3 +54,10 @@ def test_lines_outside_a_large_group_meet_all_of_it(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "OUTSIDE", 3)
     monkeypatch.setattr(line_dedup, "INSIDE", 5)
     test_all_near_lines_of_a_crowded_block_are_in_one_group(spark)
+
+
+def test_groups_of_the_second_round_can_be_read_when_no_block_is_crowded(spark):
+    pairs = [[f"a{x}{c}{c}same" for x in "pq"] for c in string.ascii_lowercase[:3]]
+    lines = named(spark, [x for p in pairs for x in p])
+    group = {r["line"]: r["component"] for r in line_dedup.groups(lines, 0.8, 3).join(lines.select("line", F.struct("h1", "h2").alias("node")), "node").collect()}
+    assert len(group) == 6 and all(group[p[0]] == group[p[1]] for p in pairs) and len(set(group.values())) == 3
