@@ -1,10 +1,13 @@
 """How often operators read their input, and that odd rows stay as they were."""
 
+import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from tablewright.operators import dataset as D
 from tablewright.operators import profile as P
 from tablewright.operators import ranks
 
@@ -53,3 +56,22 @@ def test_wrong_first_cuts_only_cost_passes(spark):
     for cuts in (ranks.Cuts([-5.0, -1.0], [False, True, False]), ranks.Cuts([10.0, 10.0, 9000.0], [True, True, False, True]), ranks.Cuts()):
         got = ranks.values_at(rows, {"g": [1, 33, 4500, 9000]}, {"g": 9000}, first={"g": cuts})
         assert got == {("g", r): ranks.Found(float((r - 1) // 3), (r - 1) // 3 * 3, 3) for r in (1, 33, 4500, 9000)}
+
+
+@pytest.mark.parametrize("n", [6000, 60000])
+def test_splits_read_as_often_at_any_size(spark, n):
+    df, read = read_counted(spark.range(n).repartition(4))
+    assert sum(r["is_test"] for r in D.split_train_test(df, "id").collect()) == math.ceil(0.3 * n)
+    assert read.value <= 3 * n  # the number of rows, the hash at the edge, the result
+
+
+@pytest.mark.parametrize("n", [1, 2500, 5200, 7000, 11900, 11999])
+def test_split_flags_the_least_hashes(spark, n):
+    keys = [*range(6000), *[77] * 3000, *[None] * 2000, *[k % 50 for k in range(1000)]]
+    df = spark.createDataFrame([(k, f"v{i % 7}") for i, k in enumerate(keys)], "key int, v string").repartition(4)
+    flagged = Counter(r["key"] for r in D.first_by_hash(df, "key", n, 42, "f").collect() if r["f"])
+    expected, left = {}, n
+    for k, rows in sorted(Counter(keys).items(), key=lambda x: hashlib.md5(f"42|{chr(0) if x[0] is None else x[0]}".encode()).hexdigest()):
+        expected[k] = min(left, rows)
+        left -= expected[k]
+    assert flagged == Counter({k: v for k, v in expected.items() if v})
