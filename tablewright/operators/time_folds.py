@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from contextlib import ExitStack
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,13 +51,12 @@ def rolling_origin(
     def score(fit, train: DataFrame, test: DataFrame, names: tuple[Metric, ...]):
         return evaluate(fit(train)(test), names, truth, prediction).first()
 
-    def one(rows: DataFrame, fold: int) -> tuple:
+    def one(rows: DataFrame, fold: int, n_train: int, n_test: int, edge) -> tuple:
         train, test = rows.filter(F.col("fold") < fold).drop("fold"), rows.filter(F.col("fold") == fold).drop("fold")
-        n_train, n_test = train.count(), test.count()
         nothing = (fold, n_train, n_test, None, *[None] * len(metrics))
         if not n_train or not n_test:
             return nothing
-        parted = split_by_time(train, time, key, inner)
+        parted = split_by_time(train, time, key, inner, edge)
         early, late = parted.filter("not is_test").drop("is_test"), parted.filter("is_test").drop("is_test")
         scores = {}
         for name, fit in models.items():
@@ -69,8 +71,18 @@ def rolling_origin(
         return (fold, n_train, n_test, chosen, *score(models[chosen], train, test, metrics))
 
     failed: dict[tuple[int, str], str] = {}
-    with kept(time_folds(df, time, key, folds)) as (rows,):
-        done = SideBySide(df.sparkSession, threads)({str(i): (lambda i=i: one(rows, i)) for i in range(1, folds + 1)})
+    level = df.storageLevel
+    with ExitStack() as while_used:
+        with kept(*[] if level.useMemory or level.useDisk else [df]):  # read once for the folds; what the caller keeps is not released here
+            (rows,) = while_used.enter_context(kept(time_folds(df, time, key, folds)))
+            sizes = {r["fold"]: r["count"] for r in rows.filter("fold is not null").groupBy("fold").count().collect()}
+        trained = {i: sum(n for fold, n in sizes.items() if fold < i) for i in range(1, folds + 1)}
+        # The training rows of a fold are the first of all in time, so one search finds where the inner test rows of all folds begin.
+        first = {i: n - late + 1 for i, n in trained.items() if (late := math.ceil(Decimal(inner) * n))}
+        timed = rows.filter("fold is not null").select(F.lit(0).alias("g"), F.struct(F.col(time).alias("t"), F.col(key).alias("k")).alias("x"))
+        found = values_at(timed, {0: list(first.values())}, {0: sum(sizes.values())})
+        edges = {i: found[0, rank].value for i, rank in first.items()}
+        done = SideBySide(df.sparkSession, threads)({str(i): (lambda i=i: one(rows, i, trained[i], sizes.get(i, 0), edges.get(i))) for i in range(1, folds + 1)})
     if errors := [x.error for x in done if x.error]:
         raise RuntimeError(f"a fold failed: {errors[0]}")
     return df.sparkSession.createDataFrame([tuple(float(v) if i > 3 and v is not None else v for i, v in enumerate(x.value)) for x in done], "fold int, n_train long, n_test long, model string, " + ", ".join(f"`{m.name}` double" for m in metrics))

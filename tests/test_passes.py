@@ -6,10 +6,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tablewright.functions import metrics as M
 from tablewright.operators import dataset as D
 from tablewright.operators import profile as P
 from tablewright.operators import ranks
+from tablewright.operators.time_folds import rolling_origin
 
 
 def read_counted(df):
@@ -75,3 +78,38 @@ def test_split_flags_the_least_hashes(spark, n):
         expected[k] = min(left, rows)
         left -= expected[k]
     assert flagged == Counter({k: v for k, v in expected.items() if v})
+
+
+def test_rolling_origin_reads_once(spark):
+    rng = np.random.default_rng(9)
+    rows = [(None if k % 97 == 0 else k, 500 if k % 5 == 0 else int(t), float(y)) for k, (t, y) in enumerate(zip(rng.integers(0, 1000, 9000), rng.normal(50, 9, 9000), strict=True))]
+    rows += rows[:300] + [(k, None, 1.0) for k in range(40)]
+    df, read = read_counted(spark.createDataFrame(rows, "k int, t int, y double").repartition(4))
+    models = {"mean": lambda train: lambda test: test.crossJoin(F.broadcast(train.agg(F.avg("y").alias("prediction")))), "zero": lambda train: lambda test: test.withColumn("prediction", F.lit(0.0))}
+    got = rolling_origin(df, "t", "k", models, (M.mae(),), "y").collect()
+    assert read.value == len(rows)
+    ordered = sorted((t, -1 if k is None else k, y) for k, t, y in rows if t is not None)
+    ends = [ordered[len(ordered) * i // 4 - 1][:2] for i in (1, 2, 3)]
+    fold = lambda r: sum(r[:2] > e for e in ends)
+    for r, i in zip(got, (1, 2, 3), strict=True):
+        train, test = [x for x in ordered if fold(x) < i], [x[2] for x in ordered if fold(x) == i]
+        mean = np.mean([x[2] for x in train])
+        assert (r["fold"], r["n_train"], r["n_test"], r["model"]) == (i, len(train), len(test), "mean") and r["MAE"] == pytest.approx(np.mean(np.abs(np.array(test) - mean)))
+
+
+def test_what_the_caller_keeps_is_kept(spark):
+    df = spark.range(40).selectExpr("id as k", "id as t", "id * 1.0D as y").persist()
+    rolling_origin(df, "t", "k", {"zero": lambda train: lambda test: test.withColumn("prediction", F.lit(0.0))}, (M.mae(),), "y").collect()
+    assert df.storageLevel.useMemory
+    df.unpersist()
+
+
+@pytest.mark.parametrize("inner", ["0.3", "1", "0"])
+def test_a_known_edge_splits_alike(spark, inner):
+    df = spark.createDataFrame([(k if k % 9 else None, k // 4 if k % 7 else None) for k in range(200)], "k int, t int")
+    timed = sorted((r["t"], r["k"] is not None, r["k"] or 0) for r in df.collect() if r["t"] is not None)
+    searched = D.split_by_time(df, "t", "k", inner).collect()
+    if late := math.ceil(float(inner) * len(timed)):
+        t, known, k = timed[len(timed) - late]
+        assert Counter(D.split_by_time(df, "t", "k", inner, (t, k if known else None)).collect()) == Counter(searched)
+    assert sum(r["is_test"] for r in searched) >= late
